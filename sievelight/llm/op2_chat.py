@@ -49,18 +49,23 @@ def paths(trees: DataFrame) -> DataFrame:
     """tree, leaf, node, dist: for every leaf the nodes of its path, dist steps above it."""
     links = trees.select("tree", "node", "parent")
     same = F.col("a.tree").eqNullSafe(F.col("b.tree"))
-    jumps = [stored(links.alias("a").join(links.alias("b"), same & (F.col("a.parent") == F.col("b.node")), "left").select("a.tree", "a.node", F.col("b.node").alias("up")), "chat-links")]
-    # No simple path is longer than a tree has nodes; on a cycle the jumps would go on for ever.
+    nodes = trees.select("tree", "node")
+    up = links.where("parent IS NOT NULL").alias("a").join(nodes.alias("b"), same & (F.col("a.parent") == F.col("b.node"))).select("a.tree", "a.node", F.col("b.node").alias("up"))
+    # Table k holds only nodes that have a 2**k-th ancestor, so the tables shrink as fast as the paths end. No path
+    # without a cycle is longer than a tree has nodes.
+    jumps = [stored(up, "chat-links")]
     longest = trees.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** len(jumps) <= longest and not jumps[-1].where("up IS NOT NULL").isEmpty():
+    while 2 ** len(jumps) < longest:
         last = jumps[-1]
-        jumps.append(stored(last.alias("a").join(last.alias("b"), same & (F.col("a.up") == F.col("b.node")), "left").select("a.tree", "a.node", "b.up"), "chat-links"))
+        farther = stored(last.alias("a").join(last.alias("b"), same & (F.col("a.up") == F.col("b.node"))).select("a.tree", "a.node", "b.up"), "chat-links")
+        if farther.isEmpty():
+            break
+        jumps.append(farther)
     parents = links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = links.alias("a").join(parents.alias("b"), same & (F.col("a.node") == F.col("b.node")), "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
     for k in reversed(range(len(jumps))):
-        up = jumps[k].where("up IS NOT NULL")
-        higher = found.alias("a").join(up.alias("b"), same & (F.col("a.node") == F.col("b.node"))).select("a.tree", "a.leaf", F.col("b.up").alias("node"), (F.col("a.dist") + 2**k).alias("dist"))
+        higher = found.alias("a").join(jumps[k].alias("b"), same & (F.col("a.node") == F.col("b.node"))).select("a.tree", "a.leaf", F.col("b.up").alias("node"), (F.col("a.dist") + 2**k).alias("dist"))
         found = found.unionByName(higher)
         if k and k % 4 == 0:
             found = stored(found, "chat-paths")
@@ -87,7 +92,8 @@ def format_trees(trees: DataFrame, best: int | None = None) -> DataFrame:
         rank = F.first("branch_rank")
     joined = along.alias("a").join(texts.alias("b"), same).select("a.*", "head", "body", "trained", "score")
     turns = F.array_sort(F.collect_list(F.struct(-F.col("dist"), "head", "body", "trained")))
-    per = joined.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), rank.alias("branch_rank"), turns.alias("turns"))
+    per = joined.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), rank.alias("branch_rank"), turns.alias("turns"), (F.size(F.collect_set("node")) == F.count("*")).alias("ends"))
+    per = per.where("ends")  # else the branch hangs from a cycle and has no root
     tail = F.lit(END + "\n")
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail)), "")
     # A running offset and the spans so far, turn by turn.
