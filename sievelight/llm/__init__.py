@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("op2_chat", "op4_language", "op5_mixing", "op7_decontaminate", "op9_lines")
+_MODULES = ("op2_chat", "op4_language", "op5_mixing", "op7_decontaminate", "op8_tokens", "op9_lines")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -34,7 +34,7 @@ ZERO, PARTS = 1 << ZERO_BITS, 1 << 16
 FIRST_EPOCH, LAST_EPOCH = 64, 2048
 #: Shares of the range for confidences 0 to 7; order 0 keeps at least a quarter.
 _SHARE = np.array([0, 2600, 6000, 10000, 14500, 18500, 21500, 24000], np.int64)
-_U16, _U32, _LOW, _LEAST = np.uint64(16), np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
+_LOW, _LEAST = 0xFFFFFFFF, 1 << 32
 
 
 def _epochs(length: int):
@@ -60,29 +60,36 @@ class _Models:
         n = len(sizes)
         self.sizes, self.lane = sizes, np.arange(n, dtype=np.int64)
         self.base1, self.base2 = self.lane << ONE_BITS, self.lane << TWO_BITS
-        self.guess1, self.sure1 = np.zeros(n << ONE_BITS, np.uint32), np.zeros(n << ONE_BITS, np.uint8)
-        self.guess2, self.sure2 = np.zeros(n << TWO_BITS, np.uint32), np.zeros(n << TWO_BITS, np.uint8)
+        # Guesses of order 1 and 2: confidence << 32 | id.
+        self.one, self.two = np.zeros(n << ONE_BITS, np.int64), np.zeros(n << TWO_BITS, np.int64)
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._zero()
 
     def learn(self, past: np.ndarray, at: int, to: int) -> None:
         """past: (lanes, 2 + length) ids behind two zeros; at, to: the epoch that has ended."""
-        live = np.arange(at, to) < self.sizes[:, None]
-        ids = past[:, at + 2 : to + 2][live]
-        a, b = past[:, at:to][live], past[:, at + 1 : to + 1][live]
-        lane = np.broadcast_to(self.lane[:, None], live.shape)[live]
-        self._guess(self.guess1, self.sure1, (lane << ONE_BITS) + _slot1(b), ids)
-        self._guess(self.guess2, self.sure2, (lane << TWO_BITS) + _slot2(a, b), ids)
-        self._count(lane << 32 | ids)
+        keys = []
+        for lo in range(at, to, 64):
+            hi = min(to, lo + 64)
+            ids, a, b = past[:, lo + 2 : hi + 2], past[:, lo:hi], past[:, lo + 1 : hi + 1]
+            lane = np.broadcast_to(self.lane[:, None], ids.shape)
+            if int(self.sizes.min()) < hi:
+                live = np.arange(lo, hi) < self.sizes[:, None]
+                ids, a, b, lane = ids[live], a[live], b[live], lane[live]
+            self._guess(self.one, (lane << ONE_BITS) + _slot1(b), ids)
+            self._guess(self.two, (lane << TWO_BITS) + _slot2(a, b), ids)
+            keys.append((lane << 32 | ids).ravel())
+        self._count(np.concatenate(keys))
         self._zero()
 
     @staticmethod
-    def _guess(guess: np.ndarray, sure: np.ndarray, slot: np.ndarray, ids: np.ndarray) -> None:
+    def _guess(table: np.ndarray, slot: np.ndarray, ids: np.ndarray) -> None:
         """The last id at a slot becomes its guess; that id also moves the slot's confidence."""
-        was = sure[slot].astype(np.int8)
-        moved = np.clip(was + np.where(guess[slot] == ids, np.int8(2), np.int8(-2)), 1, 7)
-        sure[slot] = np.where(was == 0, 1, moved)
-        guess[slot] = ids
+        held = table.take(slot)
+        was = held >> 32
+        sure = np.maximum(was + np.where((held & _LOW) == ids, 2, -2), 1)
+        np.minimum(sure, 7, out=sure)
+        sure[was == 0] = 1
+        table[slot] = sure << 32 | ids
 
     def _count(self, keys: np.ndarray) -> None:
         keys = np.sort(keys)
@@ -117,6 +124,7 @@ class _Models:
         self.end = np.cumsum(shares) - owner * ZERO
         self.start = self.end - shares
         self.zero_keys, self.place = keys, place
+        self.packed = self.end << 46 | self.start << 32 | self.ids
 
     def ranks(self) -> np.ndarray:
         """For each part of each lane its entry."""
@@ -131,8 +139,14 @@ def _planned(blocks: list[np.ndarray], wide: bool) -> tuple[np.ndarray, np.ndarr
     for i, block in enumerate(blocks):
         past[i, 2 : 2 + len(block)] = block
     models = _Models(sizes)
-    names, dense = np.unique(past, return_inverse=True)
-    dense = dense.reshape(past.shape)
+    if wide:
+        names, dense = np.unique(past, return_inverse=True)
+        dense = dense.reshape(past.shape)
+    else:
+        used = np.zeros(PARTS, np.int64)
+        used[past] = 1
+        names = np.flatnonzero(used)
+        dense = (np.cumsum(used) - 1).astype(np.int32)[past]
     where = np.zeros(len(blocks) * len(names), np.int32)  # entry of order 0 by lane and id, 0 for none
     start, freq = np.zeros((len(blocks), longest), np.int32), np.zeros((len(blocks), longest), np.int32)
     escaped = np.zeros((len(blocks), longest), bool)
@@ -141,23 +155,26 @@ def _planned(blocks: list[np.ndarray], wide: bool) -> tuple[np.ndarray, np.ndarr
         if len(models.zero_keys):
             where[:] = 0
             where[(models.zero_keys >> 32) * len(names) + np.searchsorted(names, models.zero_keys & 0xFFFFFFFF)] = models.place
-        for lo in range(at, to, 256):
-            hi = min(to, lo + 256)
+        for lo in range(at, to, 64):
+            hi = min(to, lo + 64)
             ids, a, b = past[:, lo + 2 : hi + 2], past[:, lo:hi], past[:, lo + 1 : hi + 1]
             i1, i2 = models.base1[:, None] + _slot1(b), models.base2[:, None] + _slot2(a, b)
-            m1, m2 = _SHARE[models.sure1[i1]], _SHARE[models.sure2[i2]]
-            entry = where[row * len(names) + dense[:, lo + 2 : hi + 2]]
+            one, two = models.one.take(i1), models.two.take(i2)
+            m1, m2 = _SHARE.take(one >> 32), _SHARE.take(two >> 32)
+            entry = where.take(row * len(names) + dense[:, lo + 2 : hi + 2])
             entry = np.where(entry == 0, models.first[:, None], entry)
+            zero = models.packed.take(entry)
             both = m1 + m2
             rest = PARTS - both
-            s = both + (models.start[entry] * rest >> ZERO_BITS)
-            f = both + (models.end[entry] * rest >> ZERO_BITS) - s
-            hit1 = (m1 > 0) & (models.guess1[i1] == ids)
-            hit2 = (m2 > 0) & (models.guess2[i2] == ids)
+            s = both + ((zero >> 32 & (2 * ZERO - 1)) * rest >> ZERO_BITS)
+            f = both + ((zero >> 46) * rest >> ZERO_BITS) - s
+            hit1 = (m1 > 0) & ((one & _LOW) == ids)
+            hit2 = (m2 > 0) & ((two & _LOW) == ids)
             start[:, lo:hi] = np.where(hit2, 0, np.where(hit1, m2, s))
             freq[:, lo:hi] = np.where(hit2, m2, np.where(hit1, m1, f))
             escaped[:, lo:hi] = (entry == models.first[:, None]) & ~hit1 & ~hit2
-        models.learn(past, at, to)
+        if to < longest:
+            models.learn(past, at, to)
     # Escapes bring one more operation, or two.
     escaped &= np.arange(longest) < sizes[:, None]
     extra = 2 if wide else 1
@@ -186,25 +203,25 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         starts, freqs, n_ops = _planned([blocks[i] for i in full], wide)
         # Longest first, so that the lanes still at work are always the first ones.
         order = np.argsort(-n_ops, kind="stable")
-        starts, freqs = starts[order].T.astype(np.uint64), freqs[order].T.astype(np.uint64)
+        starts, freqs = starts[order].T.astype(np.int64), freqs[order].T.astype(np.int64)
         ends = np.searchsorted(-n_ops[order], -np.arange(len(starts)), side="left")  # lanes with more than t operations
-        low, size = np.zeros(len(full), np.uint64), np.full(len(full), 1 << 48, np.uint64)
+        low, size = np.zeros(len(full), np.int64), np.full(len(full), 1 << 48, np.int64)
         sent, cells = np.zeros(len(full), np.int64), np.zeros((len(full), len(starts) + 4), np.uint32)
         for t, live in enumerate(ends.tolist()):
             lo, sz = low[:live], size[:live]
-            part = sz >> _U16
+            part = sz >> 16
             lo += part * starts[t, :live]
             np.multiply(part, freqs[t, :live], out=sz)
             due = np.flatnonzero(sz < _LEAST)
             if len(due):
                 was = lo[due]
-                cells[due, sent[due]] = was >> _U32
-                lo[due] = (was & _LOW) << _U16
-                sz[due] <<= _U16
+                cells[due, sent[due]] = was >> 32
+                lo[due] = (was & _LOW) << 16
+                sz[due] <<= 16
                 sent[due] += 1
         for _ in range(3):
-            cells[np.arange(len(full)), sent] = low >> _U32
-            low = (low & _LOW) << _U16
+            cells[np.arange(len(full)), sent] = low >> 32
+            low = (low & _LOW) << 16
             sent += 1
         while (carry := cells >> 16).any():
             cells &= 0xFFFF
@@ -245,60 +262,71 @@ def _decoded(blocks: list[bytes], heads: list[tuple], wide: bool) -> list[np.nda
     n = len(blocks)
     sizes = np.array([h[1] for h in heads], np.int64)
     longest, most = int(sizes[0]), max(h[2] for h in heads)
-    cells = np.zeros((n, most + 4), np.uint64)
+    cells = np.zeros((n, most + 4), np.int64)
     for i, block in enumerate(blocks):
         cells[i, : heads[i][2]] = np.frombuffer(block, "<u2", offset=_HEAD.size)
     flat, base = cells.reshape(-1), np.arange(n, dtype=np.int64) * (most + 4)
-    code = cells[:, 0] << _U32 | cells[:, 1] << _U16 | cells[:, 2]
-    nxt, size = base + 3, np.full(n, 1 << 48, np.uint64)
+    code = cells[:, 0] << 32 | cells[:, 1] << 16 | cells[:, 2]
+    nxt, size, last = base + 3, np.full(n, 1 << 48, np.int64), base + most + 3
     past = np.zeros((longest + 2, n), np.int64)
     models = _Models(sizes)
     many = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()
-    last = base + most + 3
+    lane_parts = models.lane << ZERO_BITS
 
-    def renew(code, size, nxt, last):
+    # Quotients here are below 2**16 and divisors below 2**32, so the double nearest to one has its floor.
+    def renew(code: np.ndarray, size: np.ndarray, nxt: np.ndarray, last: np.ndarray) -> None:
         due = np.flatnonzero(size < _LEAST)
         if len(due):
-            at = nxt[due]
-            code[due] = code[due] << _U16 | flat[at]
-            size[due] <<= _U16
-            nxt[due] = np.minimum(at + 1, last[due])
+            at = nxt.take(due)
+            code[due] = code.take(due) << 16 | flat.take(at)
+            size[due] = size.take(due) << 16
+            nxt[due] = np.minimum(at + 1, last.take(due))
 
     def raw(who: np.ndarray) -> np.ndarray:
-        c, s, x = code[who], size[who] >> _U16, nxt[who]
-        got = np.minimum(c // s, np.uint64(PARTS - 1))
+        c, s, x = code[who], size[who] >> 16, nxt[who]
+        got = np.minimum((c / s).astype(np.int64), PARTS - 1)
         c -= got * s
         renew(c, s, x, last[who])
         code[who], size[who], nxt[who] = c, s, x
-        return got.astype(np.int64)
+        return got
 
     for at, to in _epochs(longest):
-        ranks, first, base1, base2 = models.ranks(), models.first, models.base1, models.base2
+        ranks, first, packed = models.ranks(), models.first, models.packed
         for t in range(at, to):
             live = many[t]
             a, b = past[t, :live], past[t + 1, :live]
-            i1, i2 = base1[:live] + _slot1(b), base2[:live] + _slot2(a, b)
-            m1, m2 = _SHARE[models.sure1[i1]], _SHARE[models.sure2[i2]]
+            one = models.one.take(models.base1[:live] + _slot1(b))
+            two = models.two.take(models.base2[:live] + _slot2(a, b))
+            m2 = _SHARE.take(two >> 32)
+            both = _SHARE.take(one >> 32)
+            both += m2
             c, s = code[:live], size[:live]
-            part = s >> _U16
-            q = np.minimum(c // part, np.uint64(PARTS - 1)).astype(np.int64)
-            both = m1 + m2
+            part = s >> 16
+            q = (c / part).astype(np.int64)
+            np.minimum(q, PARTS - 1, out=q)
             v, rest = q - both, PARTS - both
-            guessed = v < 0
-            entry = ranks[(models.lane[:live] << ZERO_BITS) + ((np.maximum(v, 0) + 1 << ZERO_BITS) - 1) // rest]
-            start = both + (models.start[entry] * rest >> ZERO_BITS)
-            freq = both + (models.end[entry] * rest >> ZERO_BITS) - start
-            ids = models.ids[entry]
-            escaped = np.flatnonzero((entry == first[:live]) & ~guessed)
-            if guessed.any():
-                g = np.flatnonzero(guessed)
-                two = q[g] < m2[g]
-                ids[g] = np.where(two, models.guess2[i2[g]], models.guess1[i1[g]])
-                start[g] = np.where(two, 0, m2[g])
-                freq[g] = np.where(two, m2[g], m1[g])
-            c -= part * start.astype(np.uint64)
-            np.multiply(part, freq.astype(np.uint64), out=s)
+            z = (((np.maximum(v, 0) + 1 << ZERO_BITS) - 1) / rest).astype(np.int64)
+            z += lane_parts[:live]
+            entry = ranks.take(z)
+            zero = packed.take(entry)
+            start = ((zero >> 32 & (2 * ZERO - 1)) * rest >> ZERO_BITS) + both
+            freq = ((zero >> 46) * rest >> ZERO_BITS) + both
+            freq -= start
+            ids = zero & _LOW
+            escape = entry == first[:live]
+            g = np.flatnonzero(v < 0)
+            if len(g):
+                m = m2.take(g)
+                by_two = q.take(g) < m
+                ids[g] = np.where(by_two, two.take(g), one.take(g)) & _LOW
+                start[g] = np.where(by_two, 0, m)
+                freq[g] = np.where(by_two, m, both.take(g) - m)
+                escape[g] = False
+            start *= part
+            c -= start
+            np.multiply(part, freq, out=s)
             renew(c, s, nxt[:live], last[:live])
+            escaped = np.flatnonzero(escape)
             if len(escaped):
                 ids[escaped] = raw(escaped)
                 if wide:
