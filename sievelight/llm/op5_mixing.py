@@ -18,7 +18,7 @@ size is 0 has target 0 and gets none. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,10 +32,13 @@ SHARE, CAP = 1.5, 2.0
 SLICES = 64
 
 
+def words_of(text: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{ASCII_SPACE}]+")).cast("long").alias("size")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the words of each document."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{ASCII_SPACE}]+"))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", words_of("text"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -55,19 +58,21 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("open_w"),
         (F.lit(float(share)) * F.sum("source_size").over(everything)).alias("wanted"),
     )
-    # If the sources before this one are full, the rest share what is left at this level.
+    # If the sources before this one are full, the rest share what is left at this level. The first level that
+    # overfills none of them is the one: those behind it count sources as full that are not, and are lower.
     level = (F.col("wanted") - F.col("full")) / F.col("open_w")
     per = per.withColumn("level", F.when(level * F.col("w") <= F.col("most"), level))
-    return per.select("source", "source_size", F.least("most", F.coalesce(F.min("level").over(everything) * F.col("w"), F.col("most"))).alias("target"))
+    return per.select("source", "source_size", F.least("most", F.coalesce(F.max("level").over(everything) * F.col("w"), F.col("most"))).alias("target"))
 
 
 def copies(sized: DataFrame, wanted: DataFrame, slices: int = SLICES, seed: str = "mix") -> DataFrame:
-    """sized with source_size, target and copies (long)."""
+    """sized with source_size, target and copies (long). A column row of sized is carried along."""
+    carried = [c for c in sized.columns if c == "row"]
     slice_of = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long") % slices
     bits = F.length(F.bin("size"))
-    size_class = (bits * 4 + F.floor(F.col("size") * 4 / F.pow(F.lit(2.0), bits - 1))).cast("long")  # four classes for each doubling
+    size_class = (bits * 16 + F.floor(F.col("size") * 16 / F.pow(F.lit(2.0), bits - 1))).cast("long")  # sixteen classes for each doubling
     cells = sized.withColumn("cls", size_class).withColumn("sl", slice_of)
-    counted = cells.groupBy("source", "cls", "sl").agg(F.count("*").alias("n"))
+    counted = cells.drop("row").groupBy("source", "cls", "sl").agg(F.count("*").alias("n"))
     along = Window.partitionBy("source").orderBy("cls", "sl").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("base", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
     counted = counted.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "cls", "sl", "base", "source_size", "target")
@@ -75,26 +80,18 @@ def copies(sized: DataFrame, wanted: DataFrame, slices: int = SLICES, seed: str
     inside = Window.partitionBy("source", "cls", "sl").orderBy("size", F.col("doc_id").asc_nulls_first())
     numbered = cells.withColumn("k", F.row_number().over(inside).cast("long"))
     on = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.cls") == F.col("c.cls")) & (F.col("d.sl") == F.col("c.sl"))
-    joined = numbered.alias("d").join(counted.alias("c"), on).select("d.doc_id", "d.source", "d.size", "source_size", "target", (F.col("base") + F.col("k")).alias("k"))
+    joined = numbered.alias("d").join(counted.alias("c"), on).select("d.doc_id", "d.source", "d.size", *carried, "source_size", "target", (F.col("base") + F.col("k")).alias("k"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     upto = lambda k: F.floor(rate * k.cast("double") + offset)
-    return joined.select("doc_id", "source", "size", "source_size", "target", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", *carried, "source_size", "target", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents themselves: every document as often as it is taken, with docs' columns."""
-    row = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("__row", row)
-    sized = keyed.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{ASCII_SPACE}]+")).cast("long").alias("size"))
-    # One row per (doc_id, source, size): equal keys share their copies out evenly among themselves.
-    taken = copies(sized, targets(sized)).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
-    alike = Window.partitionBy("doc_id", "source", "__size").orderBy("__row")
-    docs = keyed.withColumn("__size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{ASCII_SPACE}]+")).cast("long"))
-    docs = docs.withColumn("__i", F.row_number().over(alike) - 1).withColumn("__n", F.count("*").over(Window.partitionBy("doc_id", "source", "__size")))
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.__size") == F.col("t.size"))
-    both = docs.alias("d").join(taken.alias("t"), on).withColumn("__c", F.floor(F.col("copies") / F.col("__n")) + F.when(F.col("__i") < F.col("copies") % F.col("__n"), 1).otherwise(0))
-    own = [c for c in docs.columns if not c.startswith("__")]
-    return both.where("__c > 0").select(*[F.col(f"d.`{c}`") for c in own], F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))).alias("__copy")).drop("__copy")
+    """The mixed documents themselves: every row of docs as often as it is taken, with docs' columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = docs.select("doc_id", "source", words_of("text"), row)
+    taken = copies(sized, targets(sizes(docs))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +117,9 @@ filled AS (
     1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) AS wanted
   FROM weighed),
 levels AS (SELECT *, CASE WHEN (wanted - full_) / open_w * w <= most THEN (wanted - full_) / open_w END AS level FROM filled),
-targets AS (SELECT source, source_size, least(most, coalesce(min(level) OVER () * w, most)) AS target FROM levels),
+targets AS (SELECT source, source_size, least(most, coalesce(max(level) OVER () * w, most)) AS target FROM levels),
 cells AS (
-  SELECT *, CAST(length(bin(size)) * 4 + floor(size * 4 / pow(2.0::DOUBLE, length(bin(size)) - 1)) AS BIGINT) AS cls,
+  SELECT *, CAST(length(bin(size)) * 16 + floor(size * 16 / pow(2.0::DOUBLE, length(bin(size)) - 1)) AS BIGINT) AS cls,
     ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT % 64 AS sl
   FROM sized),
 numbered AS (

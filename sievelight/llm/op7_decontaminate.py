@@ -224,6 +224,22 @@ def remove_spans(docs: DataFrame, automata: list[SuffixAutomaton], coverage: flo
     return matched(docs, automata).mapInPandas(cut, "doc_id long, text string, n_hit long")
 
 
+def clean(docs: DataFrame, automata: list[SuffixAutomaton]) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item."""
+
+    def runner(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not shared.value.run(words_of(text))[0] for text in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for automaton in automata:
+        docs = docs.mapInArrow(runner(docs.sparkSession.sparkContext.broadcast(automaton)), docs.schema)
+    return docs
+
+
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
     raw = text.encode()
     folded, places, inside = raw.translate(_FOLD), [], False
