@@ -1,15 +1,15 @@
 """MinHash near-dedup: universal hash minima, banding, verification on full sets, connected components.
 
-1. Every document's set of word shingles is hashed to 64 bits; its 288 minima under multiply-add hashes, its size and a
-   128-bit fingerprint of the set are kept. Documents with equal fingerprints are one class, and
-   only the smallest of them goes on, so copies never meet in pairs.
+1. Every document's set of word shingles is hashed to 64 bits; the band keys of its 288 minima under multiply-add hashes, its size
+   and a 128-bit fingerprint of the set are kept. Documents with equal fingerprints are one class, and only the smallest of
+   them goes on, so copies never meet in pairs.
 2. Bands of six minima put representatives into buckets. At a similarity of 0.8, two sets share none of the 48 bands once
    in two million times.
 3. Stars: each bucket's members are paired with its smallest member, and the pairs checked on full sets. The links' components
    are labels.
 4. Rest: in a bucket whose members still have different labels, members of different labels may yet be linked. Such a
-   bucket's signatures are compared in tiles of bounded size; pairs whose estimate is not far below the threshold
-   come out once (in their first common band) and are checked on full sets too. Members of one label need no more comparing.
+   bucket's sets, with hashes cut to 32 bits, are compared in tiles of bounded size, and no pairs are written but the best few
+   links of any two labels of a tile, which are checked on full sets again. Members of one label need no more comparing.
 5. The components of all links, by alternating large-star and small-star.
 
 Members of a bucket are never gathered in one place: minima come from partial sums, large buckets are dealt out in tiles, and
@@ -38,8 +38,8 @@ from .components import components
 #: Words of a shingle, least similarity in hundredths.
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
-#: Members of one side of a tile; how far an estimate may lie below the threshold (4.5 standard deviations).
-TILE, SLACK = 1024, 0.106
+#: Members of one side of a tile; columns of its incidence matrix at once; links of two labels that a tile gives.
+TILE, COLUMNS, BEST = 1024, 4096, 3
 _NONE = -(2**63)
 _DRAW = np.random.Generator(np.random.PCG64(20_240_601))
 _MULTIPLY = _DRAW.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64, endpoint=False) | np.uint64(1)
@@ -74,24 +74,22 @@ def minima(values: np.ndarray) -> np.ndarray:
 def _signed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, his, los, signatures, bands = [], [], [], [], []
+            sizes, his, los, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingles(text, words)
                 sizes.append(len(values))
                 if not len(values):
                     his.append(None)
                     los.append(None)
-                    signatures.append(None)
                     bands.append(None)
                     continue
                 both = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), "<i8")
                 his.append(int(both[0]))
                 los.append(int(both[1]))
                 signature = minima(values)
-                signatures.append(signature.tobytes())
                 bands.append([xxhash.xxh3_64_intdigest(signature[k * ROWS : k * ROWS + ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)])
-            cells = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n", "hi", "lo", "signature", "bands"])
+            cells = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n", "hi", "lo", "bands"])
 
     return run
 
@@ -152,43 +150,69 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with their hashes cut to 32 bits, for the comparison in tiles."""
+    for batch in batches:
+        raw = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column("items")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "short"])
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets in left with those in right, from the items that more than one set has."""
+    items = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    edge = np.concatenate([[True], items[1:] != items[:-1]])
+    column = np.cumsum(edge) - 1
+    common = np.bincount(column)[column] > 1
+    owner, column = owner[common], column[common]
+    total = np.zeros((len(left), len(right)), np.float32)
+    if not len(column):
+        return total
+    column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
+    for lo in range(0, int(column[-1]) + 1, COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[i:j], column[i:j] - lo] = 1
+        total += part[left] @ part[right].T
+    return total
+
+
 def _tiled(percent: int):
-    """Pairs of a tile that may be linked and were not checked yet. A tile has the members of slice p (side 0) and of
-    slice q (side 1) of a bucket; if p = q, side 0 only."""
+    """Of each tile the best pairs of any two labels that are linked. A tile has the members of slice p (side 0) and of slice q
+    (side 1) of a bucket; if p = q, side 0 only."""
 
     def pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         doc, label, size = group["doc_id"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy()
-        signature = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(group), BANDS * ROWS)
-        side, center, band = group["side"].to_numpy(), group["center"].iloc[0], int(group["band"].iloc[0])
-        one = group["p"].iloc[0] == group["q"].iloc[0]
+        side = group["side"].to_numpy()
         left = np.flatnonzero(side == 0)
-        right = left if one else np.flatnonzero(side == 1)
-        if one:  # a pair of different labels has at most one member of the most frequent label
+        right = np.flatnonzero(side == 1)
+        if group["p"].iloc[0] == group["q"].iloc[0]:  # a pair of different labels has at most one member of the most frequent label
             names, counts = np.unique(label, return_counts=True)
+            right = left
             left = left[label[left] != names[counts.argmax()]]
-        us, vs = [], []
-        for lo in range(0, len(left), 64):
-            a = left[lo : lo + 64]
-            open_ = label[a][:, None] != label[right]
-            open_ &= 100 * np.minimum(size[a][:, None], size[right]) >= percent * np.maximum(size[a][:, None], size[right])
-            open_ &= (doc[a][:, None] != center) & (doc[right] != center)
-            i, j = np.nonzero(open_)
-            for at in range(0, len(i), 4096):
-                x, y = a[i[at : at + 4096]], right[j[at : at + 4096]]
-                equal = signature[x] == signature[y]
-                near = equal.mean(1) >= percent / 100 - SLACK
-                x, y, equal = x[near], y[near], equal[near]
-                first = equal.reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band
-                us.append(np.maximum(doc[x[first]], doc[y[first]]))
-                vs.append(np.minimum(doc[x[first]], doc[y[first]]))
         none = np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate([none, *us]), np.concatenate([none, *vs])]), axis=1)
-        return both[0], both[1]
+        if not len(left) or not len(right) or (label[left][:, None] == label[right]).all():
+            return none, none
+        common = _overlaps([np.frombuffer(x, np.uint32) for x in group["short"]], left, right)
+        both = size[left][:, None] + size[right]
+        common += both // 1000  # what cutting the hashes can have cost
+        i, j = np.nonzero((100 * common >= percent * (both - common)) & (label[left][:, None] != label[right]))
+        ratio = common[i, j] / both[i, j]
+        x, y = left[i], right[j]
+        one, two = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((-ratio, two, one))
+        x, y, one, two = x[order], y[order], one[order], two[order]
+        fresh = np.ones(len(x), bool)
+        fresh[BEST:] = (one[BEST:] != one[:-BEST]) | (two[BEST:] != two[:-BEST])
+        return np.maximum(doc[x], doc[y])[fresh], np.minimum(doc[x], doc[y])[fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "p", "q"]):
             u, v = pairs(group)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -196,15 +220,16 @@ def _tiled(percent: int):
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), "text")
-    signed = stored(plain.mapInArrow(_signed(words), "doc_id long, n long, hi long, lo long, signature binary, bands array<long>"), "minhash")
+    signed = stored(plain.mapInArrow(_signed(words), "doc_id long, n long, hi long, lo long, bands array<long>"), "minhash")
     classes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     classes = stored(classes, "minhash-classes")
     heads = signed.join(classes.select(F.col("first").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
-    heads = stored(heads.dropDuplicates(["doc_id"]).select("doc_id", "n", "signature", "bands"), "minhash-heads")
-    members = heads.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("key", "band").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("m")).where("m > 1")
-    buckets = buckets.select("key", "band", F.col("least.doc_id").alias("center"), F.col("least.n").alias("center_n"), "m")
-    members = stored(members.join(buckets, ["key", "band"]), "minhash-members")
+    heads = stored(heads.dropDuplicates(["doc_id"]).select("doc_id", "n", "bands"), "minhash-heads")
+    # A key holds its band's number, through its seed.
+    members = heads.select("doc_id", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("m")).where("m > 1")
+    members = members.join(buckets, "key").join(heads.select("doc_id", "n"), "doc_id")
+    members = stored(members.join(heads.select(F.col("doc_id").alias("center"), F.col("n").alias("center_n")), "center"), "minhash-members")
 
     partners = members.select("doc_id").distinct()
     sets = plain.join(partners, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, items binary")
@@ -215,14 +240,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     labels = stored(components(links), "minhash-labels")
 
     labelled = members.where("m > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    labelled = stored(labelled.select("key", "band", "doc_id", "n", "center", "m", "label"), "minhash-labelled")
-    mixed = labelled.groupBy("key", "band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "band")
-    rest = labelled.join(mixed, ["key", "band"], "left_semi").join(heads.select("doc_id", "signature"), "doc_id")
+    labelled = stored(labelled.select("key", "doc_id", "n", "m", "label"), "minhash-labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    rest = labelled.join(mixed, "key", "left_semi").join(sets.mapInArrow(_shortened, "doc_id long, short binary"), "doc_id")
     slices = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")
     rest = rest.withColumn("slices", slices).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rest = rest.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-    tiles = rest.select("key", "p", "q", "side", "band", "doc_id", "n", "center", "label", "signature").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    tiles = rest.select("key", "p", "q", "side", "doc_id", "n", "label", "short").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     more = stored(tiles.mapInArrow(_tiled(percent), "u long, v long").distinct(), "minhash-pairs")
     links = links.unionByName(_confirm(more, sets, percent))
     labels = stored(components(links), "minhash-labels")
