@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("op1_minhash", "op2_chat", "op4_language", "op5_mixing", "op6_licenses", "op7_decontaminate", "op8_tokens", "op9_lines", "op10_embeddings")
+_MODULES = ("op1_minhash", "op2_chat", "op3_html", "op4_language", "op5_mixing", "op6_licenses", "op7_decontaminate", "op8_tokens", "op9_lines", "op10_embeddings")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
