@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # the workers' too
 
 DATA = Path("/root/testdata/sf0.001")
@@ -40,23 +40,3 @@ def duck(data):
     for file in Path(data).iterdir():
         con.sql(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     return con
-
-
-def plain(value):
-    """Values as both engines give them, doubles to six places."""
-    if isinstance(value, float):
-        return round(value, 6)
-    if isinstance(value, (list, tuple)):
-        return tuple(map(plain, value))
-    return value
-
-
-def same(frame, con, sql: str) -> bool:
-    """Whether a DataFrame and a DuckDB query give the same rows."""
-    got = [tuple(plain(r[c]) for c in sorted(frame.columns)) for r in frame.collect()]
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    order = [names.index(c) for c in sorted(names)]
-    want = [tuple(plain(row[k]) for k in order) for row in found.fetchall()]
-    key = lambda row: tuple((x is not None, str(x)) for x in row)
-    return sorted(names) == sorted(frame.columns) and sorted(got, key=key) == sorted(want, key=key)

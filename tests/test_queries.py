@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import same
+from parity import same
 
 from sievelight.queries import SQL, Q
 
