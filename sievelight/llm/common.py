@@ -2,52 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..tables import drop_table, new_table, shared_dir, stored, table
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ASCII_SPACE", "drop_table", "new_table", "shared_dir", "stored", "table"]
 
-#: The ASCII white space of the word and line rules, and A-Z / a-z.
+#: Fixed value: the ASCII white space of the word and line rules, inside a character class.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievelight-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def new_table(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/sievelight/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, and lost executors don't matter."""
-    spark = df.sparkSession
-    path = path or new_table(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables that stored() wrote and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for frame in frames:
-        parents = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
-        for parent in parents:
-            if "/sievelight/" in parent:
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

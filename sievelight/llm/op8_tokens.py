@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from . import range_coder
 from .common import new_table, table
 
-TOKENIZER, END_ID, CACHE = "byte_bpe_50k.json", 2, 300_000
+TOKENIZER, END_ID, CACHE = "byte_bpe_50k.json", 2, 200_000
 GROUP = range_coder.BLOCK * range_coder.LANES
 TABLE = "part int, seq int, n_docs int, n_tokens long, docs binary, blocks array<binary>"
 _PIECE = re.compile(r"\s*\S+|\s+")
