@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from . import range_coder
 from .common import new_table, table
 
-TOKENIZER, END_ID, CACHE = "byte_bpe_50k.json", 2, 200_000
+TOKENIZER, END_ID, CACHE = "byte_bpe_50k.json", 2, 150_000
 GROUP = range_coder.BLOCK * range_coder.LANES
 TABLE = "part int, seq int, n_docs int, n_tokens long, docs binary, blocks array<binary>"
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -97,8 +97,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays(cells, names=["part", "seq", "n_docs", "n_tokens", "docs", "blocks"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = tokens.ids(text) + end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                raw = tokens.ids(text.as_py()) + end
                 if held and held + len(raw) // 4 > GROUP:
                     yield group()
                     seq, ids, raws, held = seq + 1, [], [], 0

@@ -70,7 +70,8 @@ class _Models:
         keys = []
         for lo in range(at, to, 64):
             hi = min(to, lo + 64)
-            ids, a, b = past[:, lo + 2 : hi + 2], past[:, lo:hi], past[:, lo + 1 : hi + 1]
+            some = past[:, lo : hi + 2].astype(np.int64)
+            ids, a, b = some[:, 2:], some[:, :-2], some[:, 1:-1]
             lane = np.broadcast_to(self.lane[:, None], ids.shape)
             if int(self.sizes.min()) < hi:
                 live = np.arange(lo, hi) < self.sizes[:, None]
@@ -135,7 +136,7 @@ def _planned(blocks: list[np.ndarray], wide: bool) -> tuple[np.ndarray, np.ndarr
     """What the coder does for each lane: starts and frequencies (lanes, operations), and how many operations."""
     sizes = np.array([len(b) for b in blocks], np.int64)
     longest = int(sizes.max())
-    past = np.zeros((len(blocks), longest + 2), np.int64)
+    past = np.zeros((len(blocks), longest + 2), np.uint32)
     for i, block in enumerate(blocks):
         past[i, 2 : 2 + len(block)] = block
     models = _Models(sizes)
@@ -157,7 +158,8 @@ def _planned(blocks: list[np.ndarray], wide: bool) -> tuple[np.ndarray, np.ndarr
             where[(models.zero_keys >> 32) * len(names) + np.searchsorted(names, models.zero_keys & 0xFFFFFFFF)] = models.place
         for lo in range(at, to, 64):
             hi = min(to, lo + 64)
-            ids, a, b = past[:, lo + 2 : hi + 2], past[:, lo:hi], past[:, lo + 1 : hi + 1]
+            some = past[:, lo : hi + 2].astype(np.int64)
+            ids, a, b = some[:, 2:], some[:, :-2], some[:, 1:-1]
             i1, i2 = models.base1[:, None] + _slot1(b), models.base2[:, None] + _slot2(a, b)
             one, two = models.one.take(i1), models.two.take(i2)
             m1, m2 = _SHARE.take(one >> 32), _SHARE.take(two >> 32)
@@ -176,20 +178,18 @@ def _planned(blocks: list[np.ndarray], wide: bool) -> tuple[np.ndarray, np.ndarr
         if to < longest:
             models.learn(past, at, to)
     # Escapes bring one more operation, or two.
-    escaped &= np.arange(longest) < sizes[:, None]
     extra = 2 if wide else 1
-    offset = np.cumsum(escaped, 1) - escaped
-    place = np.arange(longest) + extra * offset
+    escaped &= np.arange(longest) < sizes[:, None]
     n_ops = sizes + extra * escaped.sum(1)
     starts, freqs = np.zeros((len(blocks), int(n_ops.max())), np.int32), np.ones((len(blocks), int(n_ops.max())), np.int32)
-    live = np.arange(longest) < sizes[:, None]
-    lane, col = np.nonzero(live)
-    starts[lane, place[live]], freqs[lane, place[live]] = start[live], freq[live]
-    lane, col = np.nonzero(escaped)
-    raw = past[lane, col + 2]
-    starts[lane, place[lane, col] + 1] = raw & 0xFFFF
-    if wide:
-        starts[lane, place[lane, col] + 2] = raw >> 16
+    for i, n in enumerate(sizes.tolist()):  # row by row, so that no index of all ids is made
+        own = escaped[i, :n]
+        place = np.arange(n) + extra * (np.cumsum(own) - own)
+        starts[i, place], freqs[i, place] = start[i, :n], freq[i, :n]
+        raw = past[i, 2 : n + 2][own]
+        starts[i, place[own] + 1] = raw & 0xFFFF
+        if wide:
+            starts[i, place[own] + 2] = raw >> 16
     return starts, freqs, n_ops
 
 
@@ -203,15 +203,17 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         starts, freqs, n_ops = _planned([blocks[i] for i in full], wide)
         # Longest first, so that the lanes still at work are always the first ones.
         order = np.argsort(-n_ops, kind="stable")
-        starts, freqs = starts[order].T.astype(np.int64), freqs[order].T.astype(np.int64)
-        ends = np.searchsorted(-n_ops[order], -np.arange(len(starts)), side="left")  # lanes with more than t operations
+        steps = starts.shape[1]
+        ends = np.searchsorted(-n_ops[order], -np.arange(steps), side="left")  # lanes with more than t operations
         low, size = np.zeros(len(full), np.int64), np.full(len(full), 1 << 48, np.int64)
-        sent, cells = np.zeros(len(full), np.int64), np.zeros((len(full), len(starts) + 4), np.uint32)
+        sent, cells = np.zeros(len(full), np.int64), np.zeros((len(full), steps + 4), np.uint32)
         for t, live in enumerate(ends.tolist()):
+            if t % 256 == 0:  # the operations of some steps, step by step and in the lanes' order
+                s, f = (np.ascontiguousarray(x[order, t : t + 256].T, np.int64) for x in (starts, freqs))
             lo, sz = low[:live], size[:live]
             part = sz >> 16
-            lo += part * starts[t, :live]
-            np.multiply(part, freqs[t, :live], out=sz)
+            lo += part * s[t % 256, :live]
+            np.multiply(part, f[t % 256, :live], out=sz)
             due = np.flatnonzero(sz < _LEAST)
             if len(due):
                 was = lo[due]
