@@ -27,7 +27,7 @@ import numpy as np
 _HEAD = struct.Struct("<4sIII")
 NARROW, WIDE = b"SLT1", b"SLT2"
 #: Ids of a block and blocks coded at once.
-BLOCK, LANES = 8192, 512
+BLOCK, LANES = 8192, 320
 #: Hash bits of the order-1 and order-2 tables, parts of order 0, parts of the coder's range.
 ONE_BITS, TWO_BITS, ZERO_BITS = 12, 13, 13
 ZERO, PARTS = 1 << ZERO_BITS, 1 << 16
