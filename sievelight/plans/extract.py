@@ -1,4 +1,5 @@
-"""The page pipeline: simplify, classify, rebuild, render. One Arrow stage per page by default, no shuffle."""
+"""The page pipeline: simplify, classify, rebuild, render. The Arrow stages of a page run in one task; rows are moved only to
+spread an input of few splits over all cores."""
 
 from __future__ import annotations
 
@@ -47,6 +48,14 @@ def _stage(pages: DataFrame, reads: list[str], makes: list[tuple[str, pa.DataTyp
     return given.mapInArrow(run, schema)
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """pages over all cores, where their input has fewer splits than there are: work on a page costs far more than moving it."""
+    if pages.isStreaming:
+        return pages
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def with_simplified(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """pages (html) with simplified_html, map_html, blocks and error; a page that fails has an error and no blocks."""
     cutoff = config.cutoff
@@ -63,7 +72,7 @@ def with_simplified(pages: DataFrame, config: Config = Config()) -> DataFrame:
         return one
 
     made = [("simplified_html", pa.string(), "string"), ("map_html", pa.string(), "string"), ("blocks", pa.list_(BLOCK), BLOCK_SQL), ("error", pa.string(), "string")]
-    return _stage(pages, ["html"], made, work)
+    return _stage(spread(pages), ["html"], made, work)
 
 
 def with_labels(pages: DataFrame, config: Config = Config()) -> DataFrame:
@@ -106,7 +115,7 @@ def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
 def extract(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """pages (html and any other columns, which are kept) with labels, n_blocks, n_main, n_other, main_html, markdown, error.
 
-    The three Arrow stages run one after the other in the same task, in one Python worker; no rows move."""
+    The three Arrow stages run one after the other in the same task; between them no rows move."""
     done = with_content(with_labels(with_simplified(pages, config), config), config)
     main = F.size(F.map_filter("labels", lambda _, v: v == "main")).cast("long")
     counted = done.withColumn("n_blocks", F.size("labels").cast("long")).withColumn("n_main", main).withColumn("n_other", F.col("n_blocks") - F.col("n_main"))

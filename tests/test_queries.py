@@ -7,6 +7,7 @@ import re
 import pytest
 from parity import same
 
+from sievelight.plans.extract import extract
 from sievelight.queries import SQL, Q
 
 
@@ -37,6 +38,9 @@ def test_main_html_keeps_what_is_main(spark, data):
 def test_plans(spark, data):
     """Filters and columns reach the scan; extraction moves no rows; one Python stage after the other."""
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan(Q["extract_pages"](spark, data))
+    extracted = plan(Q["extract_pages"](spark, data))
+    assert "hashpartitioning" not in extracted and extracted.count("Exchange") <= 1  # that one only spreads a single file
+    many = spark.read.parquet(f"{data}/pages.parquet").repartition(16)
+    assert plan(extract(many)).count("Exchange") == 1  # the one just made here
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan(Q["lang_filter_limit"](spark, data)).replace("`", "")
     assert "Python" not in plan(Q["rouge5_pairs"](spark, data)) and "Arrow" not in plan(Q["rouge5_pairs"](spark, data))
