@@ -56,3 +56,8 @@ def main_html(map_html: str | None, labels: dict[str, str], empty_as_blank: bool
     for wrapper in [n for n in root.below() if n.tag == WRAPPER]:
         wrapper.unwrap()
     return decode_urls(outer_html(root))
+
+
+def unescaped_html(markup: str | None) -> str:
+    """Markup with all character references resolved, also those in text."""
+    return html.unescape(markup or "")

@@ -82,6 +82,31 @@ def compact_labels(response: Column | str) -> Column:
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^\d+", 0).alias("item_id"), F.regexp_extract(x, r"[a-z]+$", 0).alias("label")))
 
 
+def response_labels(response: Column | str) -> Column:
+    """An array of (item_id, label) from a model's answer: JSON, also one that is cut off, and else the compact form."""
+    found = F.regexp_extract_all(response, F.lit(r'("\d+"\s*:\s*"(?:main|other)")'), F.lit(1))
+    pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"\d+", 0).alias("item_id"), F.regexp_extract(x, r"(main|other)", 1).alias("label")))
+    return F.when(F.size(pairs) > 0, pairs).otherwise(compact_labels(response))
+
+
+#: Instructions to put before a page's blocks, by version; our own wording.
+PROMPTS = {
+    "json": 'Every block of the page below has an id. Say for each whether it is main content or not, as JSON such as {"1": "main", "2": "other"}.\n\n',
+    "compact": "Every block of the page below has an id. Say for each whether it is main content or not, such as 1main2other.\n\n",
+}
+
+
+def prompt(simplified: Column | str, version: str = "json") -> Column:
+    if version not in PROMPTS:
+        raise ValueError(f"unknown prompt version {version!r}; known: {', '.join(PROMPTS)}")
+    return F.concat(F.lit(PROMPTS[version]), simplified)
+
+
+def fits_context(tokens: Column, context: int, reserve: int = 1000) -> Column:
+    """Whether a prompt leaves the reserve for the answer."""
+    return tokens <= context - reserve
+
+
 def dummy_response(ids: Column, compact: bool = True) -> Column:
     """The answer in which every block is other, for length budgets."""
     if compact:

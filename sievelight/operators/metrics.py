@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, whitespace_tokens
@@ -76,3 +76,11 @@ def clean_rate(judged: DataFrame, clean: str, by: str) -> DataFrame:
     """Percentage of clean texts over all rows (group null) and per group."""
     sets = judged.groupingSets([[], [F.col(by)]], F.col(by))
     return sets.agg(F.grouping(by).cast("int").alias("is_total"), F.count("*").alias("n"), (F.avg(F.col(clean).cast("double")) * 100).alias("clean_pct"))
+
+
+def observed(rows: DataFrame, name: str = "totals") -> tuple[DataFrame, Observation]:
+    """rows, and an observation that has n_rows, n_errors and n_chars when an action on them has ended; no second pass."""
+    seen = Observation(name)
+    error = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    size = F.length("markdown") if "markdown" in rows.columns else F.lit(0)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(error).alias("n_errors"), F.sum(size).alias("n_chars")), seen

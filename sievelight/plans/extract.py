@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dom.rebuild import main_html
-from ..dom.render import markdown
+from ..dom.render import markdown, plain_text
 from ..dom.simplify import CUTOFF, simplify
 from ..operators.classify import Classifier, resolve
 
@@ -112,6 +112,22 @@ def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
     return _stage(pages.withColumn("__error", F.col("error")), ["map_html", "labels", "__error"], made, work).drop("__error")
 
 
+def with_text(pages: DataFrame) -> DataFrame:
+    """pages (map_html, labels) with text for scoring: links and images left out, "" for a page without main blocks or with a failure."""
+
+    def work():
+        def one(map_html, labels):
+            try:
+                known = dict(labels or [])
+                return (plain_text(main_html(map_html, known)) if "main" in known.values() else "",)
+            except Exception:  # a page that can't be rebuilt scores as empty
+                return ("",)
+
+        return one
+
+    return _stage(pages, ["map_html", "labels"], [("text", pa.string(), "string")], work)
+
+
 def extract(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """pages (html and any other columns, which are kept) with labels, n_blocks, n_main, n_other, main_html, markdown, error.
 

@@ -196,6 +196,15 @@ def parse_compact_labels(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.inline(T.compact_labels(answer)))
 
 
+@query("""WITH s AS (SELECT doc_id, unnest(['1', '2']) AS item_id, unnest([CASE quality WHEN 1 THEN 'main' ELSE 'other' END, CASE toxic WHEN 1 THEN 'main' ELSE 'other' END]) AS label FROM labels)
+SELECT doc_id, item_id, label FROM s""")
+def parse_json_labels(spark, sf_dir):
+    """JSON answers, of which every second one is cut off behind its last pair."""
+    word = lambda c: F.when(F.col(c) == 1, "main").otherwise("other")
+    answer = F.concat(F.lit('Here: {"1": "'), word("quality"), F.lit('", "2" : "'), word("toxic"), F.lit('"'), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(', "3": "ma'))
+    return table(spark, sf_dir, "labels").select("doc_id", F.inline(T.response_labels(answer)))
+
+
 @query(r"""WITH i AS (SELECT page_id, range(1, CAST(len(string_split(html, '<p>')) AS BIGINT)) AS ids FROM pages)
 SELECT page_id, array_to_string(list_transform(ids, lambda i: CAST(i AS VARCHAR) || 'other'), '') AS compact,
   '{' || array_to_string(list_transform(ids, lambda i: '"' || CAST(i AS VARCHAR) || '": "other"'), ', ') || '}' AS json,

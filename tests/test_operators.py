@@ -98,3 +98,28 @@ def test_errors_are_data(spark):
 def test_from_simplified(spark):
     given = spark.createDataFrame([('<html><body><p _item_id="1">a paragraph that is long enough</p><p _item_id="2">x</p></body></html>',)], "simplified_html string")
     assert E.from_simplified(given).first()["markdown"] == "a paragraph that is long enough"
+
+
+def test_text_for_scoring_and_totals(spark):
+    pages = spark.createDataFrame([(1, "<p>see <a href='/x'>this</a> text of some length</p>"), (2, "<nav>n</nav>")], "page_id int, html string")
+    ready = E.with_labels(E.with_simplified(pages), E.Config(classifier="all-main"))
+    assert {r["page_id"]: r["text"] for r in E.with_text(ready).collect()} == {1: "see this text of some length", 2: ""}
+    rows, seen = metrics.observed(E.with_content(ready))
+    assert rows.count() == 2 and seen.get["n_rows"] == 2 and seen.get["n_errors"] == 0
+
+
+def test_answers_and_prompts(spark):
+    answers = spark.createDataFrame([('x {"1": "main", "2":"other"} y',), ('{"1": "main", "2": "oth',), ("1main2other",), ("none",)], "a string")
+    got = [[tuple(x) for x in r[0]] for r in answers.select(T.response_labels("a")).collect()]
+    assert got == [[("1", "main"), ("2", "other")], [("1", "main")], [("1", "main"), ("2", "other")], []]
+    assert spark.range(1).select(T.prompt(F.lit("<p>"), "compact")).first()[0].endswith("<p>")
+    with pytest.raises(ValueError):
+        T.prompt("a", "v9")
+
+
+def test_command_line(spark, tmp_path):
+    from sievelight.__main__ import main
+
+    spark.createDataFrame([(1, "<p>a paragraph that is long enough to keep</p>")], "page_id int, html string").write.parquet(str(tmp_path / "in"))
+    main(["extract", str(tmp_path / "in"), str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).first()["n_main"] == 1
