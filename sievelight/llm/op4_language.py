@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import stored, table
 
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL, LEAST_MARGIN, FOLDS = 200, 65_536, 6, 0.005, 5
 UNKNOWN = "und"
+#: Ids of sampled documents up to which they are broadcast; of more (very many languages) the texts are shuffled to them.
+BROADCAST_DOCS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Goes before each text, so that no text is too short for zstandard to encode at all.
 _LEAD = bytes(64)
@@ -52,7 +54,9 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes:
     # limit before the shuffle.
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("lang", "doc_id").distinct()
-    texts = usable.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"], "left_semi")
+    chosen = stored(chosen, "language-sample")
+    small = chosen.count() <= BROADCAST_DOCS
+    texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen) if small else chosen, ["lang", "doc_id"], "left_semi")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
