@@ -1,14 +1,18 @@
 """Licence scans: normalised sentences are mapped to known licence-sentence ids, and id sequences are matched with ordered rules.
 
 A text is cut into sentences twice: by lines, as a notice on a line of its own, and by paragraphs with their lines joined, as a notice that
-wraps. A sentence is normalised to lower-case ASCII letters and digits with single spaces. Known sentences give their ids, in order of
-the text; other sentences give nothing. Rules are tried from the longest to the shortest (equal ones in the order below): each
+wraps. A sentence is normalised to lower-case ASCII letters and digits with single spaces. Where a known sentence holds a mark that
+texts are cut at (`free software: you can`), its pieces are joined again if they stand directly one after the other. Known sentences
+give their ids, in order of the text; other sentences give nothing. Rules are tried from the longest to the shortest (equal ones in the order below): each
 occurrence of a rule's ids, one after the other, is a find, and its sentences serve no later rule. The two ways of
 cutting are matched on their own; the finds of a licence are the larger number of the two.
 
 All of it is built-in functions in the scan's stage: no Python, no shuffle. Texts without any of the cue words that every known
 sentence has are not cut at all.
 
+The SQL knows SENTENCES and RULES only and does not join pieces; it agrees on texts without the notices in JOINED, MORE_SENTENCES and
+MORE_RULES, as those of the test tables.
+
 Nulls: a null or empty text has no finds; repeated rows are scanned each; an empty table gives an empty result.
 """
 
@@ -81,16 +85,77 @@ RULES = (
     ("CC-BY-ND-4.0", ("cc-by-nd-ref",)),
     ("proprietary", ("reserved",)),
 )
+
+
+def _gnu(licence: str, version: str) -> str:
+    return (
+        f"this [a-z]+ is free software~you can redistribute it and or modify it under the terms of the gnu {licence} as published by the free software foundation"
+        f"~either version {version} of the license or at your option any later version"
+    )
+
+
+def _gnu_only(licence: str, version: str) -> str:
+    return f"this [a-z]+ is free software~you can redistribute it and or modify it under the terms of the gnu {licence} version {version} as published by the free software foundation"
+
+
+# Further sentences, as patterns. At a ~ a text may be cut or not.
+JOINED = {
+    "gpl-free": _gnu("general public license", "3"),
+    "gpl3-only": _gnu_only("general public license", "3"),
+    "gpl2-free": _gnu("general public license", "2"),
+    "gpl2-only": _gnu_only("general public license", "2"),
+    "lgpl2-free": _gnu("library general public license", "2"),
+    "lgpl21-free": _gnu("lesser general public license", "2 1"),
+    "lgpl3-free": _gnu("lesser general public license", "3"),
+    "agpl3-free": _gnu("affero general public license", "3"),
+    "gpl-hope": "this [a-z]+ is distributed in the hope that it will be useful~but without any warranty~without even the implied warranty of merchantability or fitness for a particular purpose",
+    "bsd-names": r"neither the name of [a-z0-9 \n]{1,100} nor the names of (?:its |their )?contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mpl-ref": "this source code form is subject to the terms of the mozilla public license v~2 0",
+}
+# SPDX identifiers, normalised, and their licences; those in SENTENCES are not repeated.
+_SPDX = {
+    "bsd 2 clause": "BSD-2-Clause", "isc": "ISC", "mpl 2 0": "MPL-2.0", "unlicense": "Unlicense", "cc0 1 0": "CC0-1.0",
+    "cc by 4 0": "CC-BY-4.0", "cc by sa 4 0": "CC-BY-SA-4.0", "cc by nc 4 0": "CC-BY-NC-4.0", "cc by nd 4 0": "CC-BY-ND-4.0",
+    **{f"{family} {version}{form}": f"{family.upper()}-{version.replace(' ', '.')}"
+       for family, version in (("gpl", "2 0"), ("gpl", "3 0"), ("lgpl", "2 0"), ("lgpl", "2 1"), ("lgpl", "3 0"), ("agpl", "3 0"))
+       for form in ("", " only", " or later") if (family, version, form) != ("gpl", "3 0", " only")},
+}
+#: Beside SENTENCES: what the pieces of JOINED become, by id, and the SPDX identifiers.
+MORE_SENTENCES = {name: name for name in JOINED if name not in SENTENCES} | {f"spdx-{x.replace(' ', '-')}": f"spdx license identifier {x}" for x in _SPDX}
+MORE_RULES = (
+    ("GPL-3.0", ("gpl3-only", "gpl-hope")),
+    ("GPL-3.0", ("gpl3-only",)),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope")),
+    ("GPL-2.0", ("gpl2-free",)),
+    ("GPL-2.0", ("gpl2-only", "gpl-hope")),
+    ("GPL-2.0", ("gpl2-only",)),
+    ("LGPL-2.0", ("lgpl2-free", "gpl-hope")),
+    ("LGPL-2.0", ("lgpl2-free",)),
+    ("LGPL-2.1", ("lgpl21-free", "gpl-hope")),
+    ("LGPL-2.1", ("lgpl21-free",)),
+    ("LGPL-3.0", ("lgpl3-free", "gpl-hope")),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("AGPL-3.0", ("agpl3-free", "gpl-hope")),
+    ("AGPL-3.0", ("agpl3-free",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    *((licence, (f"spdx-{x.replace(' ', '-')}",)) for x, licence in _SPDX.items()),
+)
 #: Each known sentence has one of these; a fixed value.
-CUES = "(?i)licen[cs]|reserved|permission|warrant|redistribution|conditions|copyright|public domain"
+CUES = r"(?i)licen[cs]|reserved|permission|warrant|redistribution|conditions|copyright|public\s+domain"
 
 
 def known_ids(text: Column, by_lines: bool) -> Column:
     """The ids of the known sentences of a text, in order."""
     cuts = r"(?<=[.!?:;])\s+|\n" if by_lines else r"(?<=[.!?:;])\s+|\n\s*\n"
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    found = F.filter(F.transform(F.split(text, cuts), plain), lambda s: s.isin(*SENTENCES.values()))
-    ids = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
+    known = SENTENCES | MORE_SENTENCES
+    # Each sentence between its own line breaks, so that neighbours can be joined.
+    whole = F.concat(F.lit("\n"), F.array_join(F.filter(F.transform(F.split(text, cuts), plain), lambda s: s != ""), "\n\n"), F.lit("\n"))
+    whole = F.regexp_replace(whole, "\nspdx license identifier\n\n", "\nspdx license identifier ")
+    for name, pattern in JOINED.items():
+        whole = F.regexp_replace(whole, "\n" + pattern.replace("~", "(?:\n\n| )") + "\n", f"\n{known[name]}\n")
+    found = F.filter(F.split(whole, "\n"), lambda s: s.isin(*known.values()))
+    ids = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
     return F.transform(found, lambda s: F.element_at(ids, s))
 
 
@@ -104,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for side in ("lines", "paragraphs"):
         cut = cut.withColumn(f"{side}_seq", F.array_join(F.transform(side, lambda i: F.concat(F.lit(","), i, F.lit(","))), ""))
     counted: dict[str, list[str]] = {}
-    for k, (licence, rule) in enumerate(sorted(RULES, key=lambda r: -len(r[1]))):
+    for k, (licence, rule) in enumerate(sorted(RULES + MORE_RULES, key=lambda r: -len(r[1]))):
         wanted = "".join(f",{i}," for i in rule)
         for side in ("lines", "paragraphs"):
             cut = cut.withColumn(f"{side}_{k}", ((F.length(f"{side}_seq") - F.length(F.replace(F.col(f"{side}_seq"), F.lit(wanted), F.lit("")))) / len(wanted)).cast("long"))

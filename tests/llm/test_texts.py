@@ -128,6 +128,44 @@ def test_licences(spark):
     assert got == {1: ("MIT", 1, 2), 2: ("Apache-2.0", 1, 0), 3: ("MIT,proprietary", 2, 2), 4: ("", 0, 0), 5: ("", 0, 0), 6: ("", 0, 0)}
 
 
+GPL_HOPE = "This {0} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+GPL_FREE = "This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2} as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version.\n\n" + GPL_HOPE
+BSD = """Copyright (c) 2020, X.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+"""
+BSD_NAMES = "\n3. Neither the name of {0} nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.\n"
+
+
+def test_official_notices(spark):
+    """Notices with marks inside, as they stand in files."""
+    commented = lambda text: "/*\n" + "\n".join(" * " + x for x in text.split("\n")) + "\n */"
+    cases = [
+        (GPL_FREE.format("program", ":", "General Public License", ",", "3"), "GPL-3.0"),
+        (commented(GPL_FREE.format("program", ";", "General Public License", ";", "2")), "GPL-2.0"),
+        (GPL_FREE.format("library", ";", "Lesser General Public License", ";", "2.1"), "LGPL-2.1"),
+        (GPL_FREE.format("library", ";", "Library General Public License", ";", "2"), "LGPL-2.0"),
+        (GPL_FREE.format("program", ":", "Lesser General Public License", ",", "3"), "LGPL-3.0"),
+        (GPL_FREE.format("program", ":", "Affero General Public License", ",", "3"), "AGPL-3.0"),
+        ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        (BSD, "BSD-2-Clause"), (BSD + BSD_NAMES.format("the copyright holder"), "BSD-3-Clause"), (BSD + BSD_NAMES.format("X, Inc. of Y"), "BSD-3-Clause"),
+        ("This is free and unencumbered software released into the public\ndomain.", "Unlicense"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-3.0-only */", "GPL-3.0"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+        ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0"),
+        ("SPDX-License-Identifier: Zlib\n\nOr maybe:\n\nMIT", ""), ("This program is free software: I wrote it.\n\nYou can redistribute it and/or modify it under the terms of the license.", ""),
+    ]
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licences"], r["n_finds"]) for r in op6_licenses.scan(rows).collect()}
+    assert got == {k: (licence, 1 if licence else 0) for k, (_, licence) in enumerate(cases)}
+
+
 # -- decontamination ------------------------------------------------------------------------------------------
 
 
