@@ -1,15 +1,18 @@
 """HTML extraction by layout-aware rendering: all visible text of a page, with its block spacing, lists and aligned tables.
 
 The page is built into a tree with the standard's implied tags (sievelight.dom.builder). What is not visible gives nothing:
-head matter, scripts, styles, templates, elements hidden by attribute or style (display: none, visibility: hidden),
-closed dialogs, hidden inputs, and the body of a closed details element. Everything else is rendered:
+head matter, scripts, styles, templates, embedded frames, objects, media and canvases (whose content is shown only where they
+cannot be), elements hidden by attribute or style (display: none, visibility: hidden), closed dialogs, hidden inputs, the body of a
+closed details element, and in svg and math titles, descriptions, annotations and definitions. Everything else is rendered:
 
 * blocks stand on lines of their own; paragraphs, headings, lists, tables and the like have an empty line around them;
 * list items have a mark (`-`, or the number of an ordered list, its start and value attributes heeded), and their further
   lines and lists are indented under it;
 * br breaks a line, hr gives a rule, pre keeps its white space; elsewhere white space collapses;
 * a table's cells are padded to the width of their column and set two spaces apart, cells of several lines side by side; a table
-  with a cell of more than WIDEST characters before its last column is a layout table, and its cells follow each other.
+  with a cell of more than WIDEST characters before its last column is a layout table, and its cells follow each other;
+* text that stands in a table, but in none of its rows, comes before the rows, and misplaced text of a row after the row;
+* formulas and the labels of drawings give their text; a label, and a row of a matrix, stands on a line of its own.
 
 Trees are walked with a stack of their own, and tables from the innermost outwards, so depth is bounded by memory only.
 
@@ -33,9 +36,11 @@ from .common import table
 #: Characters of a cell that still counts as tabular.
 WIDEST = 120
 # Elements that are never visible, blocks, and blocks with an empty line around them.
-UNSEEN = frozenset("head title meta link base script style template noscript iframe object embed audio video canvas svg math datalist param source track area map".split())
+UNSEEN = frozenset("head title meta link base script style template noscript iframe object embed audio video canvas datalist param source track area".split())
+#: The same inside svg and math.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu article section fieldset form details".split())
-BLOCKS = SPACED | frozenset("html body div li dt dd header footer main nav aside address center figcaption summary legend option optgroup dialog tbody thead tfoot tr td th caption hgroup search dir".split())
+BLOCKS = SPACED | frozenset("html body div li dt dd header footer main nav aside address center figcaption summary legend option optgroup dialog tbody thead tfoot tr td th caption hgroup search dir text foreignobject mtr mlabeledtr".split())
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -46,6 +51,8 @@ def visible(node: Element) -> bool:
         return False
     if tag == "dialog" and "open" not in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden":
         return False
+    if (tag in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse")) and node.nearest({"svg", "math"}) is not None:
+        return False
     above = node.up
     if above is not None and above.tag == "details" and "open" not in above.attrs:
         return tag == "summary" and next(k for k in above.kids if k.tag == "summary") is node
@@ -104,14 +111,14 @@ class _Page:
         self.lines.append((indent + line).rstrip(" "))
 
 
-def _flow(root: Element, tables: dict[int, list[str]]) -> list[str]:
-    """The lines of an element's content; tables in it are rendered already."""
+def _flow(root: Element, tables: dict[int, list[str]], itself: bool = False) -> list[str]:
+    """The lines of an element's content, or of the element itself without its tail; tables in it are rendered already."""
     page = _Page()
     closed_details = root.tag == "details" and "open" not in root.attrs
-    if not closed_details:
+    if not closed_details and not itself:
         page.write(root.text)
     numbers: dict[int, int] = {}
-    todo: list[tuple[str, Element]] = [("open", kid) for kid in reversed(root.kids)]
+    todo: list[tuple[str, Element]] = [("open", root)] if itself else [("open", kid) for kid in reversed(root.kids)]
     while todo:
         step, node = todo.pop()
         tag = node.tag
@@ -125,7 +132,7 @@ def _flow(root: Element, tables: dict[int, list[str]]) -> list[str]:
                 page.end(1 if tag in SPACED and not nested else 0)
             step = "tail"
         if step == "tail":
-            if node.up is not None and not (node.up.tag == "details" and "open" not in node.up.attrs):
+            if node is not root and node.up is not None and not (node.up.tag == "details" and "open" not in node.up.attrs):
                 page.write(node.tail)
             continue
         if not visible(node):
@@ -135,6 +142,8 @@ def _flow(root: Element, tables: dict[int, list[str]]) -> list[str]:
             page.newline()
             todo.append(("tail", node))
             continue
+        if tag == "mtd" or node.up is not None and node.up.tag == "mfrac":  # drawn apart
+            page.write(" ")
         if tag in BLOCKS:
             nested = tag in ("ul", "ol", "menu", "dl") and node.up is not None and node.up.nearest({"li", "dd"}) is not None
             page.end(1 if tag in SPACED and not nested else 0)
@@ -183,23 +192,29 @@ def _grid(owner: Element, tables: dict[int, list[str]]) -> list[str]:
     """A table's lines."""
     lines: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
-    todo = [k for k in reversed(owner.kids)]
+    strays = [owner.text]
+    todo = [("open", k) for k in reversed(owner.kids)]
     while todo:
-        node = todo.pop()
+        step, node = todo.pop()
+        if step == "tail":
+            strays.append(node.tail)
+            continue
+        todo.append(("tail", node))
         if not visible(node):
             continue
         if node.tag == "caption":
             lines += _flow(node, tables)
-        elif node.tag in ("tbody", "thead", "tfoot"):
-            todo.extend(reversed(node.kids))
+        elif node.tag in ("tbody", "thead", "tfoot", "colgroup"):
+            strays.append(node.text)
+            todo.extend(("open", k) for k in reversed(node.kids))
         elif node.tag == "tr":
             cells = [k for k in node.kids if visible(k)]
-            rows.append([(_flow(c, tables), min(100, max(1, _number(c.attrs.get("colspan"), 1)))) for c in cells])
-            if stray := _SPACE.sub(" ", node.text + " ".join(c.tail for c in node.kids)).strip():
+            rows.append([(_flow(c, tables, c.tag not in ("td", "th")), min(100, max(1, _number(c.attrs.get("colspan"), 1)))) for c in cells])
+            if stray := _SPACE.sub(" ", " ".join([node.text, *(c.tail for c in node.kids)])).strip():
                 rows.append([([stray], 1)])
-        elif node.tag not in ("colgroup", "col"):  # misplaced content
-            rows.append([(_flow(node, tables), 1)])
-    if stray := _SPACE.sub(" ", owner.text + " ".join(k.tail for k in owner.kids)).strip():
+        elif node.tag != "col":  # misplaced content
+            rows.append([(_flow(node, tables, True), 1)])
+    if stray := _SPACE.sub(" ", " ".join(strays)).strip():
         lines.append(stray)
     widths: dict[int, int] = {}
     widest = 0

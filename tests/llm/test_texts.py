@@ -53,6 +53,24 @@ def test_rendering(page, text):
     assert op3_html.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math display=block><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>tex</annotation></semantics></math> holds", "so x= 1 2 holds"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable></math>", "1 2\n3"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><rect/><text>A</text><text>B<tspan>b</tspan></text><text display=none>h</text></svg>", "A\nBb"),
+        ("a <map name=m><p>in a map</p><area alt=x></map> b", "a\n\nin a map\n\nb"),
+        ("<table>s1<tr><td>1</td></tr>s2<tr><td>2</td></tr>s3</table>", "s1 s2 s3\n1\n2"),
+        ("<table><thead>h<tr><th>H</tr>t</thead><tfoot>f<tr><td>F</tr></tfoot></table>", "h t f\nH\nF"),
+        ("<table><tr>x<td>1</td>y<td>2</td>z</tr></table>", "1      2\nx y z"),
+        ("<table><tr><input value=go><td>1</table>", "go  1"),
+        ("<table><tr><td>1</td></tr><pre>a\n b</pre></table>", "1\na\n b"),
+    ],
+)
+def test_nothing_visible_is_lost(page, text):
+    assert op3_html.render(page) == text
+
+
 def test_html_edge_cases(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (2, ""), (3, "<div>" * 4000 + "deep"), (None, "<p>x")], "page_id long, html string")
     got = sorted((str(r["page_id"]), r["text"], r["error"]) for r in op3_html.extract_text(rows).collect())
