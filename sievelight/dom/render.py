@@ -85,14 +85,24 @@ def _write(node: Element, to: _Writer, tight: bool = False) -> None:
         to.close()
     elif tag in ("ul", "ol"):
         to.close(tight)
-        for n, item in enumerate((k for k in node.kids if k.tag == "li"), 1):
-            mark = "  * " if tag == "ul" else f"  {n}. "
-            to.prefix.append(" " * len(mark))
-            to.first = mark
-            _inside(item, to, tight=True)
-            to.close(tight=True)
-            to.prefix.pop()
-            to.first = ""
+        n = 0
+        to.prefix.append("")
+        to.text(_SPACE.sub(" ", node.text))
+        for kid in node.kids:
+            if kid.tag == "li":
+                to.close(tight=True)
+                n += 1
+                mark = "  * " if tag == "ul" else f"  {n}. "
+                to.prefix[-1] = " " * len(mark)
+                to.first = mark
+                _inside(kid, to, tight=True)
+                to.close(tight=True)
+                to.first = ""
+            else:  # misplaced content, under the item before it
+                _write(kid, to, tight=True)
+            to.text(_SPACE.sub(" ", kid.tail))
+        to.close(tight=True)
+        to.prefix.pop()
     elif tag == "blockquote":
         to.close()
         to.prefix.append("> ")
@@ -112,13 +122,21 @@ def _write(node: Element, to: _Writer, tight: bool = False) -> None:
         if cells and all(c.tag == "th" for c in cells):
             to.text(" | ".join("---" for _ in cells))
             to.close(tight=True)
+        to.text(_SPACE.sub(" ", node.text))  # misplaced content, after the row
+        for kid in node.kids:
+            if kid.tag in ("td", "th"):
+                to.text(" ")
+            else:
+                _write(kid, to)
+            to.text(_SPACE.sub(" ", kid.tail))
+        to.close()
     elif tag == "dd":
         to.close(tight=True)
         to.prefix.append("    ")
         _inside(node, to)
         to.close(tight=True)
         to.prefix.pop()
-    elif tag in _PARAGRAPH or tag in ("dt", "li", "body", "html", "tbody", "thead", "tfoot", "caption"):
+    elif tag in _PARAGRAPH or tag in ("dt", "li", "body", "html", "tbody", "thead", "tfoot", "caption", "td", "th"):
         to.close(tight)
         _inside(node, to)
         to.close(tight)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,5 +110,30 @@ def test_any_markup(parts):
     main_html(page.map_html, dict.fromkeys(ids, "main"))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<ul><li>a</li><ul><li>b</li></ul></ul>", "* a\n      * b"),
+        ("<ol><li>a</li><ul><li>b</li></ul>c<li>d</ol>", "1. a\n       * b\n     c\n  2. d"),
+        ("<ul>x <b>y</b><div>z</div><li>a</li><p>q</p></ul>", "x **y**\nz\n  * a\n    q"),
+        ("<ul><ul><li>b</li></ul></ul>", "* b"),
+        ("<table><tr>x<td>a</td>y<td>b</td><b>z</b></tr><tr><td>c</table>", "a | b\n\nx y **z**\n\nc"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a\n\nb"),
+    ],
+)
+def test_misplaced_content_is_rendered(page, text):
+    assert markdown(page) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<ul>", "</ul>", "<ol>", "</ol>", "<li>", "</li>", "<p>", "<div>", "</div>", "<b>", "</b>", "<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<form>", "</form>", "<tbody>", "<caption>", "word ", "word", "<blockquote>", "</blockquote>"]), max_size=40))
+def test_markdown_has_all_text(parts):
+    numbered = "".join(f"w{k}w" if p == "word" else f"w{k}w " if p == "word " else p for k, p in enumerate(parts))
+    page = simplify(numbered)
+    main = main_html(page.map_html, dict.fromkeys((b.item_id for b in page.blocks), "main"))
+    words = re.findall(r"w\d+w", main)
+    assert sorted(re.findall(r"w\d+w", markdown(main))) == sorted(words) == sorted(re.findall(r"w\d+w", plain_text(main)))
+
+
 def test_deep_pages():
     assert len(simplify("<div>" * 3000 + "x").blocks) == 1
