@@ -30,7 +30,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold windows of enough benchmark items, or mostly consist of such windows."""
+    """Drops documents that hold eight words on end of a benchmark item, windows of two items (an item of fewer words is a window as a
+    whole), or hit words for more than half of their words. Texts of documents that stay are not cut."""
     ship(spark)
     automata = op7_decontaminate.shards(table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return op7_decontaminate.clean(docs, automata)

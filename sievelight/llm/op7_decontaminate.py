@@ -4,7 +4,7 @@ The benchmark's items are normalised to words and put into one suffix automaton
 document's words run through it; at each word the automaton gives the longest run of words that
 ends there and stands in some item. Where that length reaches the window (or the whole of an item that
 is shorter), the window's words are hit, and the automaton's state gives the items. Documents that hold windows
-of enough items are contaminated; remove_spans() cuts the hit words of a text instead, or drops the text beyond a
+of enough items are contaminated; clean() drops documents with a full window, enough items or too many hit words; remove_spans() cuts the hit words of a text instead, or drops the text beyond a
 coverage limit.
 
 The automaton is built on the driver from at most shard_words words: a larger benchmark is split by
@@ -30,6 +30,8 @@ from .common import stored, table
 
 #: Words of a window; items that must occur before a document counts as contaminated; words of one automaton.
 WINDOW, LIMIT, SHARD_WORDS = 8, 2, 2_000_000
+#: Share of a text's words beyond which hit words make it go wholly.
+COVERAGE = 0.5
 #: Bytes that are not part of words become spaces, A-Z become a-z.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -48,6 +50,7 @@ class SuffixAutomaton:
         own: list[set[int]] = [set()]
         whole: dict[int, set[int]] = {}
         self.names = [name for name, _ in items]
+        self.brief = {k for k, (_, words) in enumerate(items) if len(words) < window}
         for item, (_, words) in enumerate(items):
             last = 0
             for word in words:
@@ -208,7 +211,7 @@ def hit_words() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
 
 
-def remove_spans(docs: DataFrame, automata: list[SuffixAutomaton], coverage: float = 0.5) -> DataFrame:
+def remove_spans(docs: DataFrame, automata: list[SuffixAutomaton], coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text, n_hit: the hit words cut from each text, with what stands between them; a text of which more
     than coverage of the words are hit goes wholly (text null)."""
 
@@ -224,20 +227,55 @@ def remove_spans(docs: DataFrame, automata: list[SuffixAutomaton], coverage: flo
     return matched(docs, automata).mapInPandas(cut, "doc_id long, text string, n_hit long")
 
 
-def clean(docs: DataFrame, automata: list[SuffixAutomaton]) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of any item."""
+def clean(docs: DataFrame, automata: list[SuffixAutomaton], limit: int = LIMIT, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs, with all their columns, without those that hold a full window of any item, windows (whole items that are
+    shorter) of limit items, or hit words for more than coverage of their words. One shorter item in a longer text drops nothing.
 
-    def runner(shared):
+    What an automaton finds in a row travels with the row to the next one, so nothing is shuffled."""
+    carried = "array<struct<a:int,b:int>>", "array<string>"
+    names = docs.columns
+
+    def runner(shared, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = shared.value
             for batch in batches:
-                keep = [not shared.value.run(words_of(text))[0] for text in batch.column("text").to_pylist()]
+                keep, spans, items = [], [], []
+                before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())
+                for text, (old, known) in zip(batch.column("text").to_pylist(), before):
+                    words = words_of(text)
+                    hit, who = automaton.run(words)
+                    hit = _merged([(s["a"], s["b"]) for s in old] + hit) if old else hit
+                    known = sorted({*known, *(automaton.names[i] for i in who)})
+                    n_hit = sum(b - a for a, b in hit)
+                    # Later automata only add words and items, so a row over a limit goes at once.
+                    keep.append(who <= automaton.brief and len(known) < limit and n_hit <= coverage * len(words))
+                    spans.append([{"a": a, "b": b} for a, b in hit])
+                    items.append(known)
+                if not last:
+                    at, to = batch.schema.get_field_index("__spans"), batch.schema.get_field_index("__items")
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
+                    batch = batch.set_column(to, batch.schema.field(to), pa.array(items, batch.schema.field(to).type))
+                else:
+                    batch = batch.select(names)
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return run
 
-    for automaton in automata:
-        docs = docs.mapInArrow(runner(docs.sparkSession.sparkContext.broadcast(automaton)), docs.schema)
-    return docs
+    found = docs.withColumn("__spans", F.array().cast(carried[0])).withColumn("__items", F.array().cast(carried[1]))
+    for k, automaton in enumerate(automata, 1):
+        last = k == len(automata)
+        found = found.mapInArrow(runner(docs.sparkSession.sparkContext.broadcast(automaton), last), docs.schema if last else found.schema)
+    return found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -225,6 +225,22 @@ def test_removal(spark, docs, nothing):
     assert op7_decontaminate.clean(docs, op7_decontaminate.shards(items.limit(0))).count() == docs.count()
 
 
+@pytest.mark.parametrize("shard_words", [op7_decontaminate.SHARD_WORDS, 1])
+def test_short_items(spark, shard_words):
+    """A short item drops a text only with another item or where it is most of the text; a full window always does."""
+    items = spark.createDataFrame([(1, "yes"), (2, "new york"), (3, "a b c d e f g h i j"), (4, None)], "item_id long, text string")
+    texts = {
+        1: "oh yes that is what they said in the end", 2: "Yes, New York is a big town of many people", 3: "yes!", 4: "new york city", 5: "in new york then",
+        6: "x " * 500 + "b c d e f g h i " + "x " * 500, 7: "a b c d e f g and no more", 8: None, 9: "", 10: "yes yes no no", 11: "yes yes yes no no",
+    }
+    docs = spark.createDataFrame([(t, k, [k]) for k, t in texts.items()], "text string, doc_id long, more array<long>")
+    automata = op7_decontaminate.shards(items, shard_words=shard_words)
+    assert (len(automata) > 1) == (shard_words == 1)
+    left = op7_decontaminate.clean(docs, automata)
+    assert left.schema == docs.schema
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {k: texts[k] for k in (1, 5, 7, 8, 9, 10)}
+
+
 # -- lines ----------------------------------------------------------------------------------------------------
 
 
