@@ -75,6 +75,12 @@ def lang_filter_limit(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").orderBy("doc_id").limit(100).select("doc_id", "source", "n_chars")
 
 
+@query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'")
+def lang_filter_all(spark, sf_dir):
+    """The reference's default: no limit."""
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars")
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY doc_id LIMIT 200 OFFSET 20")
 def resume_anti_join(spark, sf_dir):
     """Offset and limit are the resume operator's own parameters."""

@@ -44,3 +44,9 @@ def test_plans(spark, data):
     assert plan(extract(many)).count("Exchange") == 1  # the one just made here
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan(Q["lang_filter_limit"](spark, data)).replace("`", "")
     assert "Python" not in plan(Q["rouge5_pairs"](spark, data)) and "Arrow" not in plan(Q["rouge5_pairs"](spark, data))
+
+
+def test_language_filter_without_limit(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "source", "n_chars").collect()
+    got = Q["lang_filter_all"](spark, data).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r["doc_id"], r["source"], r["n_chars"]) for r in docs if r["lang"] == "en"), key=str)
