@@ -7,13 +7,18 @@ repeated tasks leave no trace) with
     part, seq   place of the group: groups in order of (part, seq) hold the documents in order of doc_id
     n_docs, n_tokens
     docs        the documents' index: for each int64 doc_id, uint8 null flag and uint32 ids, as three arrays
-    blocks      range_coder blocks of up to 8,192 ids; a document may run over any number of blocks
+    blocks      range_coder blocks of up to 131,072 ids; a document may run over any number of blocks
 
 read() needs only the table. Blocks are independent of each other and carry a crc32; a damaged one raises an error.
 
 Words are cached: a text is cut where white space follows other characters, at which the tokenizer's own splitting
-always cuts too, and each piece goes to the tokenizer once per worker (the cache is emptied at CACHE pieces). Texts with
-the tokenizer's special strings, or with control characters on whose class the two splittings differ, go to it whole.
+always cuts too, and a piece goes to the tokenizer only if it is in neither of a worker's two caches (of CACHE pieces and what one
+more slice of texts brings; the older one is dropped when the newer one is full). Texts with
+the tokenizer's special strings, or with control characters on whose class the two splittings differ, go to it whole, as do
+all texts for a tokenizer that splits in another way.
+
+A worker holds a group's ids and the coder's arrays for AT_ONCE of them, whatever the size of its partition; a single
+document that is longer than a group adds its own ids.
 
 Nulls and ties: a null text is empty and has the end id only; null doc_ids come first; rows of equal doc_id are in order of
 their texts; an empty table gives an empty result.
@@ -21,6 +26,8 @@ their texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import zlib
@@ -36,11 +43,16 @@ from pyspark.sql.window import Window
 from . import range_coder
 from .common import new_table, table
 
-TOKENIZER, END_ID, CACHE = "byte_bpe_50k.json", 2, 150_000
-GROUP = range_coder.BLOCK * range_coder.LANES
+#: Pieces of each of a worker's two caches, code points of a piece that is kept at most, code points of texts that are tokenised together.
+TOKENIZER, END_ID, CACHE, KEPT_PIECE, TOGETHER = "byte_bpe_50k.json", 2, 60_000, 40, 1_000_000
+#: Ids of a group.
+GROUP = range_coder.AT_ONCE
 TABLE = "part int, seq int, n_docs int, n_tokens long, docs binary, blocks array<binary>"
 _PIECE = re.compile(r"\s*\S+|\s+")
+_PLAIN = re.compile(r" ?\S+").fullmatch
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: How the tokenizers library describes the splitting that _PIECE never cuts across.
+_SPLITS = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
 
 
 class Tokens:
@@ -51,23 +63,66 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, cache
+        self.older: dict[str, bytes] = {}
+        self.cuts = str(self.tokenizer.pre_tokenizer) == _SPLITS and self.tokenizer.normalizer is None
+        mark = self._encoded(["\n"])[0]
+        self.mark = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces. Those without a line break go to the tokenizer in one text, a line each: a line break between such
+        pieces is always an id of its own, which no piece has."""
+        plain = [p for p in new if _PLAIN(p)] if self.mark is not None else []
+        rest = list(set(new).difference(plain))
+        found = dict(zip(rest, self._encoded(rest)))
+        for lo in range(0, len(plain), 5000):
+            some = plain[lo : lo + 5000]
+            ids = np.frombuffer(self._encoded(["\n".join(some)])[0], "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise ValueError("pieces and their ids do not match")
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(some, ends):
+                found[piece] = raw[4 * at : 4 * end]
+                at = end + 1
+        return found
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        whole = [k for k, t in enumerate(texts) if not self.cuts or _ODD.search(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for k in whole:
+            out[k] = self._encoded([texts[k]])[0]
+        cut = {k: _PIECE.findall(texts[k]) for k in set(range(len(texts))).difference(whole)}
+        new = set().union(*cut.values()).difference(self.cache)
+        known = new.intersection(self.older)
+        self.cache.update((p, self.older[p]) for p in known)
+        new.difference_update(known)
+        self.cache.update(self._pieces(list(new)))
+        for k, own in cut.items():
+            out[k] = b"".join(map(self.cache.__getitem__, own))
+        for piece in new:
+            if len(piece) > KEPT_PIECE:
+                del self.cache[piece]
+        if len(self.cache) > self.most:  # pieces that are met again before the new cache is full move into it
+            self.cache, self.older = {}, self.cache
+        return out
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._encoded([text])[0]
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.cache.get, pieces))
-        except TypeError:  # some piece is new
-            new = list(set(pieces).difference(self.cache))
-            if len(self.cache) + len(new) > self.most:
-                self.cache.clear()
-                new = list(set(pieces))
-            self.cache.update(zip(new, self._encoded(new)))
-            return b"".join(map(self.cache.get, pieces))
+        return self.all_ids([text])[0]
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The worker's one tokenizer for a file, with what its cache holds from earlier tasks."""
+    if path not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -76,37 +131,56 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def trim() -> None:
+    """Gives the memory of arrays that are gone back to the system, where the C library can: an idle worker then holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def coded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and ids of the rows, some texts at a time."""
+    for batch in batches:
+        docs, texts, size = [], [], 0
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            docs.append(doc)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= TOGETHER:
+                yield from zip(docs, tokens.all_ids(texts))
+                docs, texts, size = [], [], 0
+        yield from zip(docs, tokens.all_ids(texts))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes docs (doc_id, text) to a new table at path. tokenizer: a file, by default the public one on each executor."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     placed = given.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(tokenizer or tokenizer_path()), np.array([end_id], "<u4").tobytes()
+        tokens, end = tokens_of(tokenizer or tokenizer_path()), np.array([end_id], "<u4").tobytes()
         part, seq, ids, raws, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def group() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(raws), "<u4")
             known = np.array([i is not None for i in ids], np.uint8)
             index = np.array([i or 0 for i in ids], "<i8").tobytes() + known.tobytes() + np.array([len(r) // 4 for r in raws], "<u4").tobytes()
-            coded = []
-            for lo in range(0, len(flat), GROUP):  # one document alone may be longer than a group
-                some = flat[lo : lo + GROUP]
-                coded += range_coder.encode([some[i : i + range_coder.BLOCK] for i in range(0, len(some), range_coder.BLOCK)])
-            cells = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([index], pa.binary()), pa.array([coded], pa.list_(pa.binary()))]
+            coded_blocks = range_coder.encode([flat[i : i + range_coder.BLOCK] for i in range(0, len(flat), range_coder.BLOCK)])
+            cells = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([index], pa.binary()), pa.array([coded_blocks], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(cells, names=["part", "seq", "n_docs", "n_tokens", "docs", "blocks"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                raw = tokens.ids(text.as_py()) + end
-                if held and held + len(raw) // 4 > GROUP:
-                    yield group()
-                    seq, ids, raws, held = seq + 1, [], [], 0
-                ids.append(doc)
-                raws.append(raw)
-                held += len(raw) // 4
+        for doc, raw in coded(batches, tokens):
+            raw += end
+            if held and held + len(raw) // 4 > GROUP:
+                yield group()
+                seq, ids, raws, held = seq + 1, [], [], 0
+                trim()
+            ids.append(doc)
+            raws.append(raw)
+            held += len(raw) // 4
         if ids:
             yield group()
+        trim()
 
     placed.mapInArrow(run, TABLE).write.parquet(path)
 
@@ -115,7 +189,7 @@ def _documents(row_docs: bytes, n_docs: int, blocks: list[bytes]) -> Iterator[tu
     ids = np.frombuffer(row_docs, "<i8", n_docs)
     known = np.frombuffer(row_docs, np.uint8, n_docs, 8 * n_docs)
     sizes = np.frombuffer(row_docs, "<u4", n_docs, 9 * n_docs)
-    flat = np.concatenate([x for lo in range(0, len(blocks), range_coder.LANES) for x in range_coder.decode(blocks[lo : lo + range_coder.LANES])])
+    flat = np.concatenate(range_coder.decode(blocks))
     at = 0
     for doc, is_known, n in zip(ids.tolist(), known.tolist(), sizes.tolist()):
         yield doc if is_known else None, flat[at : at + n]
@@ -139,6 +213,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 n = len(docs)
                 cells = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(docs, pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, last[1])]
                 yield pa.RecordBatch.from_arrays(cells, names=["part", "seq", "n", "doc_id", "before", "n_tokens", last[0]])
+                trim()
 
     stored = spark.read.schema(TABLE).parquet(path).select("part", "seq", "n_docs", "docs", "blocks")
     return stored.mapInArrow(run, f"part int, seq int, n int, doc_id long, before long, n_tokens long, {last[2]}")

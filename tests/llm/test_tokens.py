@@ -4,8 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievelight.llm import op8_tokens, range_coder
@@ -28,6 +30,16 @@ def test_any_blocks(blocks):
     assert all(np.array_equal(a, b) for a, b in zip(given_, range_coder.decode(range_coder.encode(given_)), strict=True))
 
 
+def test_text_like_ids_beat_zstandard():
+    rng = np.random.default_rng(5)
+    words = [rng.zipf(1.3, rng.integers(1, 4)) % 20_000 for _ in range(3000)]
+    ids = np.concatenate([words[k % 3000] for k in rng.zipf(1.4, 150_000)])[: range_coder.BLOCK + 5000].astype(np.uint32)
+    blocks = [ids[: range_coder.BLOCK], ids[range_coder.BLOCK :]]
+    coded = range_coder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(coded), strict=True))
+    assert len(coded[0]) < len(zstandard.compress(blocks[0].astype("<u2").tobytes(), 3))
+
+
 def test_carries_and_repeats():
     blocks = [np.full(5000, 7, np.uint32), np.tile(np.arange(50, dtype=np.uint32), 160), np.array([65535, 0] * 500, np.uint32)]
     coded = range_coder.encode(blocks)
@@ -62,6 +74,18 @@ def test_files(spark, docs, nothing, tmp_path):
         at += len(ids)
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op8_tokens.placed(spark, str(tmp_path / "0")).orderBy("start").collect()]
     assert got == want
+    assert set(spark.read.parquet(str(tmp_path / "0")).columns) == {"part", "seq", "n_docs", "n_tokens", "docs", "blocks"}
     ids = op8_tokens.read(spark, str(tmp_path / "0")).where("doc_id = 2").first()["ids"]
     assert ids == tokenizer.encode("one", add_special_tokens=False).ids + [2]
     assert op8_tokens.placed(spark, str(tmp_path / "1")).count() == 0
+
+
+def test_a_document_longer_than_a_group(spark, tmp_path, monkeypatch):
+    rows = [(1, "a b"), (2, " ".join(f"w{k}" for k in range(40_000))), (3, None)]
+    op8_tokens.write(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).coalesce(1), str(tmp_path / "long"), None, 2)
+    tokenizer = Tokenizer.from_file(op8_tokens.tokenizer_path())
+    got = {r["doc_id"]: r["ids"] for r in op8_tokens.read(spark, str(tmp_path / "long")).collect()}
+    assert got == {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for d, t in rows}
+    blocks = [np.arange(range_coder.BLOCK, dtype=np.uint32) % 997] * 3  # more than are coded at once
+    monkeypatch.setattr(range_coder, "AT_ONCE", range_coder.BLOCK)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(range_coder.encode(blocks)), strict=True))
