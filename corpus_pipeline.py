@@ -30,8 +30,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold eight words on end of a benchmark item, windows of two items (an item of fewer words is a window as a
-    whole), or hit words for more than half of their words. Texts of documents that stay are not cut."""
+    """Drops documents that match a benchmark item over 13 words on end, hold windows of eight words of two items, or whose words are
+    hit for more than half. Windows in the other documents are cut from their texts. An item of fewer than eight words counts for
+    the half only."""
     ship(spark)
     automata = op7_decontaminate.shards(table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return op7_decontaminate.clean(docs, automata)

@@ -3,22 +3,25 @@
 The benchmark's items are normalised to words and put into one suffix automaton over word ids. A
 document's words run through it; at each word the automaton gives the longest run of words that
 ends there and stands in some item. Where that length reaches the window (or the whole of an item that
-is shorter), the window's words are hit, and the automaton's state gives the items. Documents that hold windows
-of enough items are contaminated; clean() drops documents with a full window, enough items or too many hit words; remove_spans() cuts the hit words of a text instead, or drops the text beyond a
-coverage limit.
-
-The automaton is built on the driver from at most shard_words words: a larger benchmark is split by
-item into shards, each with its own automaton, and the documents run through one after the other. Each automaton
-is broadcast; its size is bounded by shard_words. Documents are never shuffled for one shard; for more,
-their spans meet by document.
-
-Nulls: a null text has no words; an item without words is in no document; rows that repeat are judged
-one by one; an empty benchmark hits nothing; the item of a null item_id counts like any other and is
-written as an empty string.
+is shorter), the window's words are hit, and the automaton's state gives the items. matched() reports spans and items;
+remove_spans() cuts the hit words of a text, or drops the text beyond a coverage limit; clean() drops documents that match
+an item over length words on end, hold windows of limit items or are covered too far, and cuts shorter spans out of the others.
+
+An automaton is held in arrays: about 150 bytes a word of its items, and 400 at the very most. It is built on the driver from
+at most shard_words words (one item may be longer), so it takes some 100 MB at most there, in a broadcast and in a worker, whatever
+the size of the benchmark: a larger one is split by item into shards. Only one shard's items and automaton exist at a time; what
+it finds is written, its broadcast destroyed, and the documents run through the next one. Documents are never shuffled for one
+shard; for more, their spans meet by row.
+
+Nulls: a null text has no words; an item without words is in no document; rows that repeat, also by doc_id alone, are judged
+one by one; very long texts are run through word by word like others; an empty benchmark hits nothing; the item of a null
+item_id counts like any other and is written as an empty string. matched() reads doc_id and text only, clean() keeps all columns.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop_table, stored, table
 
 #: Words of a window; items that must occur before a document counts as contaminated; words of one automaton.
-WINDOW, LIMIT, SHARD_WORDS = 8, 2, 2_000_000
-#: Share of a text's words beyond which hit words make it go wholly.
-COVERAGE = 0.5
+WINDOW, LIMIT, SHARD_WORDS = 8, 2, 250_000
+#: Words on end that make a document go wholly, and the share of its words beyond which hit words do.
+LENGTH, COVERAGE = 13, 0.5
 #: Bytes that are not part of words become spaces, A-Z become a-z.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,121 +45,167 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Over all items; states carry the items whose words pass through them."""
+    """Over all items. A state's first transition stands in arrays, as most states have one only; further ones in a dictionary."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        own: list[set[int]] = [set()]
-        whole: dict[int, set[int]] = {}
-        self.names = [name for name, _ in items]
-        self.brief = {k for k, (_, words) in enumerate(items) if len(words) < window}
-        for item, (_, words) in enumerate(items):
+        self.window, self.names = window, [name for name, _ in items]
+        self.ids: dict[bytes, int] = {}
+        self.link, self.length, self.word, self.to = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        coded = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items]
+        for words in coded:
             last = 0
             for word in words:
-                last = self._extend(last, word, own)
-                own[last].add(item)
-            if 0 < len(words) < window:
-                whole.setdefault(last, set()).add(item)
-        # A state's items are those of all states below it in the tree of links.
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            own[self.link[state]] |= own[state] if self.link[state] else set()
-        # found[state]: the windows that end where the state's shortest run does or further left: (words, items).
-        # Runs of a state shorter than the longest may still be shorter than the window; see run().
-        self.windows: list[frozenset[int] | None] = [None] * len(self.length)
-        self.short: list[tuple[tuple[int, frozenset[int]], ...]] = [()] * len(self.length)
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            up = self.link[state]
+                last = self._extend(last, word)
+        # top[state]: the state of the last window words of the state's runs; -1 if its runs are shorter.
+        self.top = array("i", [-1]) * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             if self.length[state] >= window:
-                self.windows[state] = frozenset(own[state]) if self.length[up] < window else self.windows[up]
-            ends = self.short[up]
-            if state in whole:
-                ends = (*ends, (self.length[state], frozenset(whole[state])))
-            self.short[state] = ends
-
-    def _extend(self, last: int, word: bytes, own: list[set[int]]) -> int:
-        known = self.next[last].get(word)
-        if known is not None and self.length[known] == self.length[last] + 1:
-            return known
-        if known is not None:
-            return self._split(last, word, known, own)
-        new = self._state(self.length[last] + 1, {}, own)
-        at = last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = new
-            at = self.link[at]
-        if at < 0:
-            self.link[new] = 0
+                up = self.top[self.link[state]]
+                self.top[state] = state if up < 0 else up
+        #: Items of windows by top state, and of whole shorter items by state; an item alone stands for itself.
+        self.windows: dict[int, int | frozenset[int]] = {}
+        self.whole: dict[int, int | frozenset[int]] = {}
+        self.brief = set()
+        for item, words in enumerate(coded):
+            if 0 < len(words) < window:
+                self.brief.add(item)
+                state = 0
+                for word in words:
+                    state = self._step(state, word)
+                self._note(self.whole, state, item)
+            state = size = 0
+            for word in words if len(words) >= window else ():
+                state, size = self._step(state, word), size + 1
+                if size >= window:
+                    self._note(self.windows, self.top[state], item)
+        # ends[state]: the nearest state up the links, itself included, where a shorter item ends; 0 for none.
+        self.ends = array("i", [0]) * (len(self.link) if self.whole else 0)
+        if self.whole:
+            for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+                self.ends[state] = state if state in self.whole else self.ends[self.link[state]]
+
+    @staticmethod
+    def _note(held: dict[int, int | frozenset[int]], state: int, item: int) -> None:
+        old = held.get(state)
+        held[state] = item if old is None or old == item else frozenset({item} | ({old} if isinstance(old, int) else old))
+
+    def _step(self, state: int, word: int) -> int:
+        """The next state; 0 for none, as no transition leads to the root."""
+        if self.word[state] == word:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(word, 0) if more else 0
+
+    def _put(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
         else:
-            target = self.next[at][word]
-            self.link[new] = target if self.length[target] == self.length[at] + 1 else self._split(at, word, target, own)
-        return new
+            self.more.setdefault(state, {})[word] = to
 
-    def _state(self, length: int, after: dict[bytes, int], own: list[set[int]]) -> int:
-        self.next.append(after)
+    def _state(self, length: int) -> int:
         self.link.append(0)
         self.length.append(length)
-        own.append(set())
-        return len(self.length) - 1
+        self.word.append(-1)
+        self.to.append(-1)
+        return len(self.link) - 1
+
+    def _extend(self, last: int, word: int) -> int:
+        known = self._step(last, word)
+        if known:
+            return known if self.length[known] == self.length[last] + 1 else self._split(last, word, known)
+        new, at = self._state(self.length[last] + 1), last
+        while at >= 0 and not self._step(at, word):
+            self._put(at, word, new)
+            at = self.link[at]
+        if at >= 0:
+            target = self._step(at, word)
+            self.link[new] = target if self.length[target] == self.length[at] + 1 else self._split(at, word, target)
+        return new
 
-    def _split(self, at: int, word: bytes, target: int, own: list[set[int]]) -> int:
-        clone = self._state(self.length[at] + 1, dict(self.next[target]), own)
-        self.link[clone] = self.link[target]
+    def _split(self, at: int, word: int, target: int) -> int:
+        clone = self._state(self.length[at] + 1)
+        self.word[clone], self.to[clone], self.link[clone] = self.word[target], self.to[target], self.link[target]
+        if target in self.more:
+            self.more[clone] = dict(self.more[target])
         self.link[target] = clone
-        while at >= 0 and self.next[at].get(word) == target:
-            self.next[at][word] = clone
+        while at >= 0 and self._step(at, word) == target:
+            self._put(at, word, clone)
             at = self.link[at]
         return clone
 
-    def run(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """The hit spans [from, to) of words, in order and merged, and the items that occur."""
-        after, link, length, windows, short, window = self.next, self.link, self.length, self.windows, self.short, self.window
-        spans: list[list[int]] = []
+    def run(self, words: list[bytes], brief: bool = True) -> tuple[list[tuple[int, int]], set[int], int]:
+        """The hit spans [from, to) of words, in order and merged, the items that occur, and the longest match. brief: whether
+        whole items of fewer words than a window count."""
+        ids, link, length, first, to, more, window, top = self.ids, self.link, self.length, self.word, self.to, self.more, self.window, self.top
+        ends = self.ends if brief else ()
+        spans: list[tuple[int, int]] = []
         items: set[int] = set()
-        state = size = 0
-        for at, word in enumerate(words):
-            to = after[state].get(word)
-            if to is None:
-                while state and to is None:
-                    state = link[state]
-                    to = after[state].get(word)
-                if to is None:
-                    size = 0
-                    continue
+        state = size = longest = 0
+        for at, name in enumerate(words):
+            word = ids.get(name)
+            if word is None:
+                state = size = 0
+                continue
+            while True:
+                if first[state] == word:
+                    after = to[state]
+                    break
+                after = more[state].get(word, 0) if state in more else 0
+                if after or not state:
+                    break
+                state = link[state]
                 size = length[state]
-            state = to
+            if not after:
+                size = 0
+                continue
+            state = after
             size += 1
+            if size > longest:
+                longest = size
             reach = 0
             if size >= window:
-                items |= windows[state]
+                self._add(items, self.windows[top[state]])
                 reach = size
-            if short[state]:
-                for least, who in short[state]:
-                    if least <= size:
-                        items |= who
-                        reach = max(reach, least)
+            if ends:
+                end = ends[state]
+                while end:
+                    if length[end] <= size:
+                        self._add(items, self.whole[end])
+                        reach = max(reach, length[end])
+                    end = ends[link[end]]
             if reach:
                 start = at + 1 - reach
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
-                spans.append([start, at + 1])
-        return [(a, b) for a, b in spans], items
+                spans.append((start, at + 1))
+        return spans, items, longest
+
+    @staticmethod
+    def _add(items: set[int], who: int | frozenset[int]) -> None:
+        items.update((who,) if isinstance(who, int) else who)
+
 
+class Shards:
+    """The benchmark (item_id, text) as automata of at most about shard_words words each, built one at a time by build()."""
 
-def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[SuffixAutomaton]:
-    """One automaton for at most about shard_words words of items (one item may be longer)."""
-    rough = F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1)
-    n = max(1, -(-int(benchmark.agg(rough).first()[0] or 0) // shard_words))
-    made = []
-    for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64(F.coalesce("item_id", F.lit(0)), "text"), F.lit(n)) == k) if n > 1 else benchmark
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS):
+        self.benchmark, self.window = benchmark, window
+        rough = F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1)
+        self.n = max(1, -(-int(benchmark.agg(rough).first()[0] or 0) // shard_words))
+
+    def build(self, k: int) -> SuffixAutomaton:
+        own = F.pmod(F.xxhash64(F.coalesce("item_id", F.lit(0)), "text"), F.lit(self.n)) == k
+        part = self.benchmark.where(own) if self.n > 1 else self.benchmark
         rows = part.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").collect()
-        made.append(SuffixAutomaton(sorted((r["item"], words_of(r["text"])) for r in rows), window))
-    return made
+        return SuffixAutomaton(sorted((r["item"], words_of(r["text"])) for r in rows), self.window)
+
 
+def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Shards:
+    return Shards(benchmark, window, shard_words)
 
-def matched(docs: DataFrame, automata: list[SuffixAutomaton]) -> DataFrame:
+
+def matched(docs: DataFrame, automata: Shards) -> DataFrame:
     """docs' doc_id and text with n_words, spans (hit words [from, to)), items (sorted as strings)."""
     schema = "doc_id long, text string, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -169,7 +219,7 @@ def matched(docs: DataFrame, automata: list[SuffixAutomaton]) -> DataFrame:
                 counts, spans, items = [], [], []
                 for text in batch.column("text").to_pylist():
                     words = words_of(text)
-                    hit, who = automaton.run(words)
+                    hit, who, _ = automaton.run(words)
                     counts.append(len(words))
                     spans.append([{"a": a, "b": b} for a, b in hit])
                     items.append(sorted({automaton.names[i] for i in who}))
@@ -177,15 +227,17 @@ def matched(docs: DataFrame, automata: list[SuffixAutomaton]) -> DataFrame:
 
         return run
 
-    context = docs.sparkSession.sparkContext
-    if len(automata) == 1:
-        return docs.mapInArrow(runner(context.broadcast(automata[0])), schema)
+    spark = docs.sparkSession
+    if automata.n == 1:
+        return docs.mapInArrow(runner(spark.sparkContext.broadcast(automata.build(0))), schema)
     # Rows get a key of their own, as doc_id may repeat; spans and items of all shards meet there.
     keyed = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     found = None
-    for automaton in automata:
-        one = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(runner(context.broadcast(automaton)), schema).drop("text")
+    for k in range(automata.n):
+        shared = spark.sparkContext.broadcast(automata.build(k))
+        one = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(runner(shared), schema).drop("text")
         one = stored(one.where("size(items) > 0"), "decontaminate-shard")
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
 
     def merge(acc, x):
@@ -227,47 +279,66 @@ def remove_spans(docs: DataFrame, automata: list[SuffixAutomaton], coverage: flo
     return matched(docs, automata).mapInPandas(cut, "doc_id long, text string, n_hit long")
 
 
-def clean(docs: DataFrame, automata: list[SuffixAutomaton], limit: int = LIMIT, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, with all their columns, without those that hold a full window of any item, windows (whole items that are
-    shorter) of limit items, or hit words for more than coverage of their words. One shorter item in a longer text drops nothing.
+def clean(docs: DataFrame, automata: Shards, length: int = LENGTH, limit: int = LIMIT, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs, with all their columns, without those that match an item over length words on end, hold full windows of
+    limit items, or have hit words for more than coverage of their words. From the texts of rows that stay, full windows are cut;
+    an n_chars column follows the text. Whole items shorter than a window count for the coverage only, and are not cut.
 
     What an automaton finds in a row travels with the row to the next one, so nothing is shuffled."""
-    carried = "array<struct<a:int,b:int>>", "array<string>"
+    pairs, strings = "array<struct<a:int,b:int>>", "array<string>"
     names = docs.columns
+    carried = {"__hits": pairs, "__cuts": pairs, "__items": strings}
 
     def runner(shared, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in batches:
-                keep, spans, items = [], [], []
-                before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())
-                for text, (old, known) in zip(batch.column("text").to_pylist(), before):
+                keep, texts, state = [], [], {c: [] for c in carried}
+                before = zip(*(batch.column(c).to_pylist() for c in carried))
+                for text, (hits, cuts, items) in zip(batch.column("text").to_pylist(), before):
                     words = words_of(text)
-                    hit, who = automaton.run(words)
-                    hit = _merged([(s["a"], s["b"]) for s in old] + hit) if old else hit
-                    known = sorted({*known, *(automaton.names[i] for i in who)})
-                    n_hit = sum(b - a for a, b in hit)
+                    full, who, longest = automaton.run(words, brief=False)
+                    every = automaton.run(words)[0] if automaton.brief else full
+                    hits, cuts = (_merged([(s["a"], s["b"]) for s in old] + new) for old, new in ((hits, every), (cuts, full)))
+                    items = sorted({*items, *(automaton.names[i] for i in who)})
                     # Later automata only add words and items, so a row over a limit goes at once.
-                    keep.append(who <= automaton.brief and len(known) < limit and n_hit <= coverage * len(words))
-                    spans.append([{"a": a, "b": b} for a, b in hit])
-                    items.append(known)
-                if not last:
-                    at, to = batch.schema.get_field_index("__spans"), batch.schema.get_field_index("__items")
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
-                    batch = batch.set_column(to, batch.schema.field(to), pa.array(items, batch.schema.field(to).type))
-                else:
+                    keep.append((longest < length or not full) and len(items) < limit and sum(b - a for a, b in hits) <= coverage * len(words))
+                    texts.append(_without(text, cuts) if last and keep[-1] and cuts else text)
+                    for c, value in zip(carried, (hits, cuts, items)):
+                        state[c].append(value if c == "__items" else [{"a": a, "b": b} for a, b in value])
+                if last:
+                    changed = [len(new) if new is not old and new != old else -1 for new, old in zip(texts, batch.column("text").to_pylist())]
+                    batch = _replaced(batch, "text", texts)
+                    if "n_chars" in names:
+                        batch = _replaced(batch, "n_chars", [old if n < 0 else n for n, old in zip(changed, batch.column("n_chars").to_pylist())])
                     batch = batch.select(names)
+                else:
+                    for c in carried:
+                        batch = _replaced(batch, c, state[c])
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return run
 
-    found = docs.withColumn("__spans", F.array().cast(carried[0])).withColumn("__items", F.array().cast(carried[1]))
-    for k, automaton in enumerate(automata, 1):
-        last = k == len(automata)
-        found = found.mapInArrow(runner(docs.sparkSession.sparkContext.broadcast(automaton), last), docs.schema if last else found.schema)
+    spark = docs.sparkSession
+    found = docs.withColumns({c: F.array().cast(kind) for c, kind in carried.items()})
+    for k in range(automata.n):
+        last = k == automata.n - 1
+        shared = spark.sparkContext.broadcast(automata.build(k))
+        after = found.mapInArrow(runner(shared, last), docs.schema if last else found.schema)
+        if not last:
+            after = stored(after, "decontaminate-shard")
+            shared.destroy()
+            if k:
+                drop_table(spark, found)
+        found = after
     return found
 
 
+def _replaced(batch: pa.RecordBatch, column: str, values: list) -> pa.RecordBatch:
+    at = batch.schema.get_field_index(column)
+    return batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -279,17 +350,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
-    raw = text.encode()
-    folded, places, inside = raw.translate(_FOLD), [], False
-    for i, byte in enumerate(folded):
-        if (byte != 0x20) != inside:
-            inside = not inside
-            places.append(i)
-    if inside:
-        places.append(len(raw))
-    for a, b in reversed(spans):
-        raw = raw[: places[2 * a]] + raw[places[2 * b - 1] :]
-    return raw.decode()
+    raw, out, at = text.encode(), [], 0
+    places = [m.span() for m in _WORD.finditer(raw)]
+    for a, b in spans:
+        out.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*out, raw[at:]]).decode()
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

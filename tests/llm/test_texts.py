@@ -192,7 +192,9 @@ def test_official_notices(spark):
 def test_automaton(items, words, window):
     coded = [(str(k), [w.encode() for w in item]) for k, item in enumerate(items)]
     automaton = op7_decontaminate.SuffixAutomaton(coded, window)
-    spans, found = automaton.run([w.encode() for w in words])
+    spans, found, longest = automaton.run([w.encode() for w in words])
+    assert longest == max((n for item in items for i in range(len(item)) for n in range(1, len(item) - i + 1) if any(words[j : j + n] == item[i : i + n] for j in range(len(words) - n + 1))), default=0)
+    assert automaton.run([w.encode() for w in words], brief=False)[1] == found - automaton.brief
     hit, who = set(), set()
     for k, item in enumerate(items):
         for n in ([window] if len(item) >= window else [len(item)] if item else []):
@@ -209,7 +211,7 @@ def test_shards_agree(spark, data):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     one = op7_decontaminate.matched(docs, op7_decontaminate.shards(items)).drop("text")
     several = op7_decontaminate.shards(items, shard_words=700)
-    assert len(several) > 2
+    assert several.n > 2
     many = op7_decontaminate.matched(docs, several).drop("text")
     assert sorted(map(str, one.collect())) == sorted(map(str, many.select(*one.columns).collect()))
 
@@ -220,25 +222,29 @@ def test_removal(spark, docs, nothing):
     cut = {r["doc_id"]: (r["text"], r["n_hit"]) for r in op7_decontaminate.remove_spans(docs, automata, coverage=0.8).collect()}
     assert cut[5] == ("The  again and again", 8) and cut[2] == (None, 1) and cut[9] == (None, 0) and cut[7] == ("", 0)
     left = op7_decontaminate.clean(docs, automata)
-    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 7, 8, 9]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert left.columns == docs.columns and {r["doc_id"]: r["text"] for r in left.collect() if r["doc_id"]} == {d: t for d, t in texts.items() if d in (1, 7, 8, 9)}
     assert op7_decontaminate.clean(nothing, automata).count() == 0
     assert op7_decontaminate.clean(docs, op7_decontaminate.shards(items.limit(0))).count() == docs.count()
 
 
 @pytest.mark.parametrize("shard_words", [op7_decontaminate.SHARD_WORDS, 1])
 def test_short_items(spark, shard_words):
-    """A short item drops a text only with another item or where it is most of the text; a full window always does."""
-    items = spark.createDataFrame([(1, "yes"), (2, "new york"), (3, "a b c d e f g h i j"), (4, None)], "item_id long, text string")
+    """Long matches, two items and coverage drop a text; one full window is cut from it; short items count for the coverage only."""
+    items = spark.createDataFrame([(1, "yes"), (2, "new york"), (3, "a b c d e f g h i j"), (4, None), (5, " ".join(f"q{k}" for k in range(20)))], "item_id long, text string")
     texts = {
         1: "oh yes that is what they said in the end", 2: "Yes, New York is a big town of many people", 3: "yes!", 4: "new york city", 5: "in new york then",
         6: "x " * 500 + "b c d e f g h i " + "x " * 500, 7: "a b c d e f g and no more", 8: None, 9: "", 10: "yes yes no no", 11: "yes yes yes no no",
+        12: "x " * 50 + " ".join(f"q{k}" for k in range(3, 16)), 13: "x " * 50 + " ".join(f"q{k}" for k in range(3, 15)), 14: "x " * 50 + "a b c d e f g h q0 q1 q2 q3 q4 q5 q6 q7",
     }
-    docs = spark.createDataFrame([(t, k, [k]) for k, t in texts.items()], "text string, doc_id long, more array<long>")
+    docs = spark.createDataFrame([(t, k, [k], None if t is None else len(t)) for k, t in texts.items()], "text string, doc_id long, more array<long>, n_chars long")
     automata = op7_decontaminate.shards(items, shard_words=shard_words)
-    assert (len(automata) > 1) == (shard_words == 1)
+    assert (automata.n > 1) == (shard_words == 1)
     left = op7_decontaminate.clean(docs, automata)
     assert left.schema == docs.schema
-    assert {r["doc_id"]: r["text"] for r in left.collect()} == {k: texts[k] for k in (1, 5, 7, 8, 9, 10)}
+    want = {k: texts[k] for k in (1, 2, 5, 7, 8, 9, 10)} | {6: "x " * 500 + " " + "x " * 500, 13: "x " * 50}
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == want
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in left.collect())
 
 
 # -- lines ----------------------------------------------------------------------------------------------------
