@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star."""
+"""Connected components by alternating large-star and small-star, and joins whose hot keys are dealt out."""
 
 from __future__ import annotations
 
@@ -7,33 +7,50 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, stored
 
+#: Keys that may count as hot at most, and the rows a hot key has at least.
+HOT_KEYS, HOT_ROWS = 1000, 1000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def hot_join(rows: DataFrame, per: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with per, which has one row for each value of on, and as n how often rows has it. total: the rows of rows.
+
+    A value with at least one in HOT_KEYS of all rows is hot. There are at most HOT_KEYS of these, so they are broadcast, and their rows
+    stay where they are; all other rows meet by value, and no task has to take more than one in HOT_KEYS of them for one value."""
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(per.where(F.col("n") >= least).drop("n"))
+    rest = rows.join(hot.select(on), on, "left_anti").join(per.where(F.col("n") < least).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of u, linked to the smallest of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return hot_join(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """u and every smaller neighbour of it, linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = hot_join(down, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component for every node with an edge; the component is its smallest node. edges: u, v (long).
 
-    The tables of each round go to the shared folder; minima are found with partial sums and joined back, so a node
-    with very many edges is never gathered in one place. Ends when a round changes nothing."""
+    The tables of each step go to the shared folder; minima are found with partial sums. The edges of a node with very many are not
+    gathered in one place: its minimum is broadcast to them. Ends when a round changes nothing. A null or repeated edge,
+    and one from a node to itself, changes nothing."""
+    spark = edges.sparkSession
     now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = None
     while True:
-        after = stored(_small_star(_large_star(now)), "edges")
+        large = stored(_large_star(now, now.count()), "edges")
+        after = stored(_small_star(large, large.count()), "edges")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(edges.sparkSession, now)
+        drop_table(spark, now, large)
         now = after
         if tuple(seen) == state or not seen[0]:
             break

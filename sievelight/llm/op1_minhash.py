@@ -1,24 +1,26 @@
 """MinHash near-dedup: universal hash minima, banding, verification on full sets, connected components.
 
 1. Every document's set of word shingles is hashed to 64 bits; the band keys of its 288 minima under multiply-add hashes, its size
-   and a 128-bit fingerprint of the set are kept. Documents with equal fingerprints are one class, and only the smallest of
-   them goes on, so copies never meet in pairs.
-2. Bands of six minima put representatives into buckets. At a similarity of 0.8, two sets share none of the 48 bands once
+   and a 128-bit fingerprint of the set are kept. Rows with equal fingerprints are one class. A class goes on as one head with the
+   smallest of its doc_ids, so copies never meet in pairs.
+2. Bands of six minima put heads into buckets. At a similarity of 0.8, two sets share none of the 48 bands once
    in two million times.
 3. Stars: each bucket's members are paired with its smallest member, and the pairs checked on full sets. The links' components
    are labels.
-4. Rest: in a bucket whose members still have different labels, members of different labels may yet be linked. Such a
-   bucket's sets, with hashes cut to 32 bits, are compared in tiles of bounded size, and no pairs are written but the best few
-   links of any two labels of a tile, which are checked on full sets again. Members of one label need no more comparing.
+4. Rest: in a bucket whose members still have different labels, members of different labels may yet be linked. There, the members
+   outside the most frequent label are compared with all members, on full sets and in tiles of bounded size. A tile gives
+   links that span all links in it. Members of one label need no more comparing.
 5. The components of all links, by alternating large-star and small-star.
 
-Members of a bucket are never gathered in one place: minima come from partial sums, large buckets are dealt out in tiles, and
-full sets are read for documents with a partner only.
+Members of a bucket are never gathered in one place: minima come from partial sums, hot buckets learn their smallest member by a
+broadcast of bounded size, a smallest member's set is copied for every PARTNERS partners, and large buckets are dealt out in
+tiles. Full sets are read for documents with a partner only.
 
 Words, shingles and threshold are parameters; the defaults are the operator's own (five words, 0.8).
 
-Nulls: a null or empty text or one without words has size 0 and is linked with nothing; a null doc_id counts as the smallest;
-rows of equal doc_id are one document for the links; an empty table gives an empty result.
+Nulls and ties: a null or empty text or one without words has size 0 and is linked with nothing; texts of any length are taken whole; a
+null doc_id counts as the smallest, and as one id; rows of equal doc_id, copies or not, are one document, which has the links of
+all its rows, whatever the partitions; columns beside doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .components import components
+from .common import drop_table, stored, table
+from .components import components, hot_join
 
 #: Words of a shingle, least similarity in hundredths.
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
-#: Members of one side of a tile; columns of its incidence matrix at once; links of two labels that a tile gives.
-TILE, COLUMNS, BEST = 1024, 4096, 3
+#: Members of one side of a tile, and shingles of their sets; columns of its incidence matrix at once; partners of a copy of a set.
+TILE, TILE_ITEMS, COLUMNS, PARTNERS = 512, 1_000_000, 4096, 500
 _NONE = -(2**63)
 _DRAW = np.random.Generator(np.random.PCG64(20_240_601))
 _MULTIPLY = _DRAW.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64, endpoint=False) | np.uint64(1)
@@ -83,9 +85,9 @@ def _signed(words: int):
                     los.append(None)
                     bands.append(None)
                     continue
-                both = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), "<i8")
-                his.append(int(both[0]))
-                los.append(int(both[1]))
+                hi, lo = _fingerprint(values)
+                his.append(hi)
+                los.append(lo)
                 signature = minima(values)
                 bands.append([xxhash.xxh3_64_intdigest(signature[k * ROWS : k * ROWS + ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)])
             cells = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
@@ -94,11 +96,22 @@ def _signed(words: int):
     return run
 
 
+def _fingerprint(values: np.ndarray) -> tuple[int, int]:
+    both = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), "<i8")
+    return int(both[0]), int(both[1])
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [shingles(text, words).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "items"])
+            raw, his, los = [], [], []
+            for text in batch.column("text").to_pylist():
+                values = shingles(text, words)
+                hi, lo = _fingerprint(values)
+                raw.append(values.tobytes())
+                his.append(hi)
+                los.append(lo)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(raw, pa.binary())], names=["doc", "hi", "lo", "items"])
 
     return run
 
@@ -118,10 +131,21 @@ def _confirmed(percent: int):
     return run
 
 
+def _head(prefix: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in ("doc", "hi", "lo")]
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs u, v those that are linked. A pair's first set travels with it, to where the second one is."""
-    first = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("x")), "u")
-    return first.join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("y")), "v").select("u", "v", "x", "y").mapInArrow(_confirmed(percent), "u long, v long")
+    """u, v of those pairs that are linked. pairs: two heads, u_ and v_, and m, at least the partners of v_ that have as many or fewer. A pair's first
+    set travels with it, to where one of the copies of the second one is."""
+    copies = F.ceil(F.col("m") / PARTNERS).cast("int")
+    first = pairs.join(sets.select(*_head("u_"), F.col("items").alias("x")), ["u_doc", "u_hi", "u_lo"])
+    first = first.withColumn("copy", F.pmod(F.xxhash64("u_doc", "u_hi"), copies))
+    wanted = pairs.groupBy("v_doc", "v_hi", "v_lo").agg(F.max("m").alias("m"))
+    second = sets.select(*_head("v_"), F.col("items").alias("y")).join(wanted, ["v_doc", "v_hi", "v_lo"])
+    second = second.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("m")
+    both = first.join(second, ["v_doc", "v_hi", "v_lo", "copy"]).select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"), "x", "y")
+    return both.mapInArrow(_confirmed(percent), "u long, v long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -150,13 +174,6 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets with their hashes cut to 32 bits, for the comparison in tiles."""
-    for batch in batches:
-        raw = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column("items")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "short"])
-
-
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Intersection sizes of the sets in left with those in right, from the items that more than one set has."""
     items = np.concatenate(sets)
@@ -167,7 +184,7 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     column = np.cumsum(edge) - 1
     common = np.bincount(column)[column] > 1
     owner, column = owner[common], column[common]
-    total = np.zeros((len(left), len(right)), np.float32)
+    total = np.zeros((len(left), len(right)), np.int32)
     if not len(column):
         return total
     column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
@@ -175,38 +192,39 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
         i, j = np.searchsorted(column, [lo, lo + COLUMNS])
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[owner[i:j], column[i:j] - lo] = 1
-        total += part[left] @ part[right].T
+        total += (part[left] @ part[right].T).astype(np.int32)
     return total
 
 
 def _tiled(percent: int):
-    """Of each tile the best pairs of any two labels that are linked. A tile has the members of slice p (side 0) and of slice q
-    (side 1) of a bucket; if p = q, side 0 only."""
-
-    def pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        doc, label, size = group["doc_id"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy()
-        side = group["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        if group["p"].iloc[0] == group["q"].iloc[0]:  # a pair of different labels has at most one member of the most frequent label
-            names, counts = np.unique(label, return_counts=True)
-            right = left
-            left = left[label[left] != names[counts.argmax()]]
-        none = np.zeros(0, np.int64)
+    """Of each tile, links that span all links between its sides. Side 0 are members of a bucket outside its most frequent
+    label, side 1 members of any label; members of one label are linked already."""
+
+    def pairs(group: pd.DataFrame) -> tuple[list[int], list[int]]:
+        doc, label, size, side = (group[c].to_numpy() for c in ("doc", "label", "n", "side"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        us: list[int] = []
+        vs: list[int] = []
         if not len(left) or not len(right) or (label[left][:, None] == label[right]).all():
-            return none, none
-        common = _overlaps([np.frombuffer(x, np.uint32) for x in group["short"]], left, right)
+            return us, vs
+        common = _overlaps([np.frombuffer(x, np.uint64) for x in group["items"]], left, right)
         both = size[left][:, None] + size[right]
-        common += both // 1000  # what cutting the hashes can have cost
-        i, j = np.nonzero((100 * common >= percent * (both - common)) & (label[left][:, None] != label[right]))
-        ratio = common[i, j] / both[i, j]
-        x, y = left[i], right[j]
-        one, two = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-        order = np.lexsort((-ratio, two, one))
-        x, y, one, two = x[order], y[order], one[order], two[order]
-        fresh = np.ones(len(x), bool)
-        fresh[BEST:] = (one[BEST:] != one[:-BEST]) | (two[BEST:] != two[:-BEST])
-        return np.maximum(doc[x], doc[y])[fresh], np.minimum(doc[x], doc[y])[fresh]
+        i, j = np.nonzero((100 * common.astype(np.int64) >= percent * (both - common)) & (label[left][:, None] != label[right]))
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(left[i].tolist(), right[j].tolist()):
+            a, b = top(int(label[x])), top(int(label[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                us.append(int(doc[x]))
+                vs.append(int(doc[y]))
+        return us, vs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "p", "q"]):
@@ -217,40 +235,61 @@ def _tiled(percent: int):
     return run
 
 
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between members of different labels. members: key, doc, hi, lo, n of buckets of three or more."""
+    labelled = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    labelled = stored(labelled, "minhash-labelled")
+    # Of every bucket with several labels: the most frequent one, and how many members and shingles it and the others have.
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    per = per.groupBy("key").agg(F.max(F.struct("c", "label", "s")).alias("most"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count("*").alias("labels")).where("labels > 1")
+    slices = lambda rows, items: F.greatest(F.ceil(rows / TILE), F.ceil(items / TILE_ITEMS)).cast("int")
+    per = per.select("key", F.col("most.label").alias("most"), "n", slices(F.col("n"), F.col("s")).alias("slices"), slices(F.col("n") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("other_slices"))
+    per = stored(per, "minhash-mixed")
+    mixed = hot_join(labelled, per, "key", labelled.count())
+    own = lambda n: F.pmod(F.xxhash64("doc", "hi"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    head = ["key", "doc", "hi", "lo", "n", "label"]
+    left = mixed.where("label <> most").select(*head, F.lit(0).alias("side"), own("other_slices").alias("p"), all_of("slices").alias("q"))
+    right = mixed.select(*head, F.lit(1).alias("side"), all_of("other_slices").alias("p"), own("slices").alias("q"))
+    tiles = left.unionByName(right).join(sets, ["doc", "hi", "lo"]).select("key", "p", "q", "side", "doc", "n", "label", "items")
+    return tiles.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiled(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), "text")
     signed = stored(plain.mapInArrow(_signed(words), "doc_id long, n long, hi long, lo long, bands array<long>"), "minhash")
-    classes = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    classes = stored(classes, "minhash-classes")
-    heads = signed.join(classes.select(F.col("first").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
-    heads = stored(heads.dropDuplicates(["doc_id"]).select("doc_id", "n", "bands"), "minhash-heads")
+    filled = signed.where("n > 0")
+    classes = stored(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "minhash-classes")
+    # Heads are known by their doc_id and their set: a doc_id may be the first of several classes.
+    heads = filled.withColumnRenamed("doc_id", "doc").join(classes.select(F.col("first").alias("doc"), "hi", "lo"), ["doc", "hi", "lo"], "left_semi")
+    heads = stored(heads.dropDuplicates(["doc", "hi", "lo"]), "minhash-heads")
     # A key holds its band's number, through its seed.
-    members = heads.select("doc_id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("m")).where("m > 1")
-    members = members.join(buckets, "key").join(heads.select("doc_id", "n"), "doc_id")
-    members = stored(members.join(heads.select(F.col("doc_id").alias("center"), F.col("n").alias("center_n")), "center"), "minhash-members")
-
-    partners = members.select("doc_id").distinct()
-    sets = plain.join(partners, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, items binary")
-    sets = stored(sets, "minhash-sets")
-    likely = members.where((F.col("doc_id") != F.col("center")) & (100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")))
-    stars = likely.select(F.col("doc_id").alias("u"), F.col("center").alias("v")).distinct()
-    links = stored(_confirm(stars, sets, percent), "minhash-links")
+    members = heads.select("doc", "hi", "lo", "n", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min(F.struct("doc", "hi", "lo", "n")).alias("center"), F.count("*").alias("n")).where("n > 1")
+    buckets = stored(buckets.withColumn("m", F.col("n")), "minhash-buckets")
+    members = stored(hot_join(members.withColumnRenamed("n", "size"), buckets, "key", BANDS * heads.count()).withColumnRenamed("size", "n"), "minhash-members")
+
+    partners = members.select("doc").distinct()
+    texts = plain.withColumnRenamed("doc_id", "doc").join(partners, "doc", "left_semi").dropDuplicates(["doc", "text"])
+    sets = stored(texts.mapInArrow(_sets(words), "doc long, hi long, lo long, items binary").dropDuplicates(["doc", "hi", "lo"]), "minhash-sets")
+    likely = members.where((F.col("doc") != F.col("center.doc")) & (100 * F.least("n", "center.n") >= percent * F.greatest("n", "center.n")))
+    stars = likely.select(*_head("u_"), *[F.col(f"center.{c}").alias(f"v_{c}") for c in ("doc", "hi", "lo")], "m")
+    stars = stored(stars.groupBy([c for c in stars.columns if c != "m"]).agg(F.max("m").alias("m")), "minhash-stars")
+    links = _confirm(stars, sets, percent)
+    # Classes of one doc_id are linked through it.
+    several = filled.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("a"), F.max(F.struct("hi", "lo")).alias("b")).where("a <> b").select("doc_id")
+    several = stored(several, "minhash-repeated")
+    if not several.isEmpty():
+        firsts = filled.select("doc_id", "hi", "lo").join(several, "doc_id", "left_semi").join(classes.select("hi", "lo", "first"), ["hi", "lo"])
+        links = links.unionByName(firsts.select(F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v"))
+    links = stored(links, "minhash-links")
     labels = stored(components(links), "minhash-labels")
-
-    labelled = members.where("m > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    labelled = stored(labelled.select("key", "doc_id", "n", "m", "label"), "minhash-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(sets.mapInArrow(_shortened, "doc_id long, short binary"), "doc_id")
-    slices = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")
-    rest = rest.withColumn("slices", slices).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rest = rest.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-    tiles = rest.select("key", "p", "q", "side", "doc_id", "n", "label", "short").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    more = stored(tiles.mapInArrow(_tiled(percent), "u long, v long").distinct(), "minhash-pairs")
-    links = links.unionByName(_confirm(more, sets, percent))
+    links = links.unionByName(_rest(members.where("m > 2").select("key", "doc", "hi", "lo", "n"), labels, sets, percent))
+    drop_table(spark, labels)
     labels = stored(components(links), "minhash-labels")
+    drop_table(spark, heads, members, sets, stars, buckets)
 
     # A document has its class's component, which is its own id unless the class or its head have others.
     merged = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").where("size > 1 OR component <> first")

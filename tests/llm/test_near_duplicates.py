@@ -68,9 +68,29 @@ def test_near_copies_of_all_degrees(spark):
 def test_tiles(spark, monkeypatch):
     """The same with buckets cut into many tiles; workers get the module's values with the pickled function's globals."""
     monkeypatch.setattr(op1_minhash, "TILE", 16)
+    monkeypatch.setattr(op1_minhash, "PARTNERS", 3)
+    monkeypatch.setattr("sievelight.llm.components.HOT_ROWS", 5)
     test_near_copies_of_all_degrees(spark)
 
 
+def test_repeated_ids(spark):
+    """Rows of one doc_id are one document with the links of all of them, however the rows are dealt out."""
+    a, b = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, "other words than all of these here"), (5, a), (None, "x y z a b c d"), (None, "q q w w e e r"), (7, "q q w w e e r")]
+    want = {1: 1, 2: 1, 3: 1, 5: 1, 7: None, None: None}
+    for seed in range(3):
+        frame = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string").repartition(seed + 1)
+        got = {(r["doc_id"], r["component_id"]) for r in op1_minhash.near_duplicates(frame, words=2).collect()}
+        assert got == set(want.items())
+
+
+def test_long_texts(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(9000)}" for _ in range(60_000)]
+    near = [f"y{k}" if k % 40 == 0 else w for k, w in enumerate(long)]
+    check(spark, {4: " ".join(long), 9: " ".join(near), 2: "w1 " * 50_000, 3: "w1 w1", 1: "w1"}, 2)
+
+
 def test_edge_cases(spark, docs, nothing):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in op1_minhash.near_duplicates(docs).collect()}
     assert (5, 8, 3, False) in got and (3, 8, 3, True) in got and (9, 0, 9, True) in got and (7, 0, 7, True) in got

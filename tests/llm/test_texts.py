@@ -278,21 +278,43 @@ def line_texts(seed: int, docs: range) -> dict[int, str]:
     return {d: "\n".join(rnd.choice([x, " " + x.upper().replace("ÄÖ", "äö") + "\t", x + str(d)]) for x in rnd.choices(pool, k=rnd.randrange(0, 12))) for d in docs}
 
 
-@pytest.mark.parametrize("filter_bytes", [op9_lines.FILTER_BYTES, 0])
-def test_lines(spark, filter_bytes):
+@pytest.mark.parametrize("filter_bytes", [op9_lines.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("hot", [False, True])
+def test_lines(spark, filter_bytes, hot, monkeypatch):
+    monkeypatch.setattr(op9_lines, "max", lambda a, b: b if hot and a == 1000 else max(a, b), raising=False)
+    monkeypatch.setattr(op9_lines, "HOT", 40)
     texts = line_texts(4, range(80))
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("line", F.lit("x"))
     got = {r["doc_id"]: r["text"] for r in op9_lines.dedup(frame, filter_bytes).collect()}
     assert got == kept_lines(texts)
 
 
-def test_store_is_reversible(spark):
+@pytest.mark.parametrize("broadcast_bytes", [op9_lines.BROADCAST_BYTES, 0])
+def test_lines_of_repeated_ids(spark, broadcast_bytes):
+    """Rows of one doc_id are one document for the counts; each keeps the lines that only it loses nothing of."""
+    rows = [(2, "a long shared line\nmine"), (2, "precious first line\nsecond thing here"), (1, "A LONG shared line "), (3, "precious first line"), (2, "a long shared line\nmine"), (None, "second thing here"), (None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), r["text"], r["n_lines"], r["n_dropped"]) for r in op9_lines.dedup(frame, broadcast_bytes).collect())
+    assert got == sorted([(2, "mine", 2, 1), (2, "precious first line", 2, 1), (1, "A LONG shared line ", 1, 0), (3, "", 1, 1), (2, "mine", 2, 1), (0, "second thing here", 1, 0), (0, "x", 1, 0)])
+
+
+def test_long_lines(spark):
+    long = "word " * 50_000
+    frame = spark.createDataFrame([(1, long + "\n" + "\n" * 3000), (2, "  " + long.upper() + "\nshort"), (3, long + "x")], "doc_id long, text string")
+    got = {r["doc_id"]: (len(r["text"]), r["n_lines"], r["n_dropped"]) for r in op9_lines.dedup(frame).collect()}
+    assert got == {1: (253_001, 3002, 0), 2: (5, 2, 1), 3: (250_001, 1, 0)}
+
+
+def test_store_is_reversible(spark, monkeypatch):
+    monkeypatch.setattr(op9_lines, "SEGMENTS", 2)
     texts, more = line_texts(5, range(40)), line_texts(6, range(40, 70))
     frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string")
-    store = op9_lines.LineStore(spark, shards=3)
+    store = op9_lines.LineStore(spark, shards=3, shard_keys=25)
     store.insert(frame(texts))
     before = sorted(map(tuple, store.references().collect()))
-    store.insert(frame(more))
+    for some in (range(40, 50), range(50, 60), range(60, 70)):
+        store.insert(frame({d: more[d] for d in some}))
+    assert len(store.segments) <= 3 and store.shards > 3
     assert {r["doc_id"]: r["text"] for r in store.resolve(frame(texts | more)).collect()} == kept_lines(texts | more)
     store.delete(frame(more).select("doc_id"))
     assert sorted(map(tuple, store.references().collect())) == before
