@@ -1,20 +1,25 @@
 """Embedding near-dedup by iterative quantisation and multi-index hashing.
 
 Vectors are centred and rotated to balanced binary codes: principal directions of a bounded sample, then rounds that alternate between codes
-and the rotation that fits them best (Procrustes). Codes are cut into eight chunks; a table for each chunk holds the vectors
-by label and chunk value, so two codes that differ in at most seven bits share an entry of some table. Within an
-entry, pairs whose codes differ in at most RADIUS bits are reranked by the cosine of the original vectors in
-double precision; a pair counts in the first table in which it meets.
+and the rotation that fits them best (Procrustes). Several tables hold the vectors by label and by the values of some bits of
+their codes, each table by other bits. Within an entry, pairs whose codes differ in at most a third of their bits are
+reranked by the cosine of the original vectors in double precision; a pair counts in the first table in which it meets.
+
+The bits of a table grow with the logarithm of the largest label's vectors, so an entry holds about ENTRY vectors at any size and
+the pairs compared grow as the vectors do; the number of tables grows with the bits, so that a pair at the threshold, whose
+codes differ in one bit of sixteen, still shares an entry of some table 19 times in 20. Each length of vectors has its own
+index; lengths with few vectors are compared as a whole.
 
 Entries are compared in tiles of bounded size, so a label or a value that holds a third of all rows is dealt over many
-tasks. Pairs are never written out: a tile gives each member its number of links there, and edges that span its links.
-Vectors equal in all components are one class; its members are counted, not paired.
+tasks; which entries are hot is broadcast for a bounded number of them. Pairs are never written out: a tile gives each member its number of
+links there, and edges that span its links. Vectors equal in direction are one class; its members are counted, not paired.
 
+The rotation is learned from at most SAMPLE vectors of a length, those with the smallest hashes, and at most SAMPLE_BYTES. Every vector is indexed.
 Recall against brute force is measured in the tests; links below the threshold are never returned.
 
-Nulls: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite components,
-and rows with a null label, link with nothing. A null vec_id counts as the smallest. Repeated vec_ids are one node, whose
-links are the sum of its rows'. An empty table gives an empty result.
+Nulls and ties: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label, link with
+nothing. A null vec_id counts as the smallest. Repeated vec_ids are one node of the components; each of their rows has its own links. Columns
+beside vec_id, embedding and label are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .components import components
+from .common import drop_table, stored, table
+from .components import components, hot_join
 from .op1_minhash import runs
 
-#: Least cosine; rows of the sample that the rotation is learned from; rounds; chunks of a code; bits two codes may differ in.
-COSINE, SAMPLE, ROUNDS, CHUNKS, RADIUS = 0.98, 20_000, 30, 8, 20
-TILE = 512
+#: Least cosine; vectors and bytes of the sample that a rotation is learned from; rounds; bits of a code at most.
+COSINE, SAMPLE, SAMPLE_BYTES, ROUNDS, BITS = 0.98, 20_000, 48_000_000, 30, 64
+#: Vectors of an entry that tables are planned for; vectors of a length up to which they are one entry; members of one side of a tile.
+ENTRY, FEW, TILE = 64, 500, 512
+#: Share of bits that agree in the codes of two vectors at the threshold.
+AGREE = 0.936
 _NONE = -(2**63)
 
 
@@ -56,49 +64,69 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
 
 
-def _usable(width: int):
-    """Rows (id, label, raw): the unit vector in doubles, null if it can't be linked; and its exact components as a key."""
+def plan(vectors: int, bits: int) -> list[list[int]]:
+    """The bits of each table, for so many vectors of the largest label."""
+    wide = min(bits, max(6, (vectors // ENTRY).bit_length()))
+    tables = max(4, int(np.ceil(3 / AGREE**wide)))
+    draw, out, left = np.random.default_rng(11), [], []
+    for _ in range(tables):  # all bits are used before one is used again
+        while len(left) < wide:
+            left += [x for x in draw.permutation(bits).tolist() if x not in left]
+        out.append(sorted(left[:wide]))
+        left = left[wide:]
+    return out
+
+
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, label, raw): length and label, and the unit vector in doubles; null if it can't be linked."""
+    for batch in batches:
+        raws, labels = [], []
+        for vector, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist()):
+            raw = None
+            if label is not None and vector and None not in vector:
+                x = np.array(vector, np.float64)
+                if np.isfinite(x).all() and x.any():
+                    x = x / np.abs(x).max()  # against overflow
+                    raw = (x / np.sqrt((x * x).sum())).tobytes()
+            raws.append(raw)
+            labels.append(None if raw is None else f"{len(vector)}:{label}")
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(labels, pa.string()), pa.array(raws, pa.binary())], names=["id", "label", "raw"])
+
+
+def _coded(shared):
+    """Adds the code and each table's value; for lengths without a model one entry for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = []
-            for vector, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist()):
-                raw = None
-                if label is not None and vector and len(vector) == width and None not in vector:
-                    x = np.array(vector, np.float64)
-                    if np.isfinite(x).all() and x.any():
-                        x = x / np.abs(x).max()  # against overflow
-                        raw = (x / np.sqrt((x * x).sum())).tobytes()
-                raws.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(raws, pa.binary())], names=["id", "label", "raw"])
+            raws = batch.column("raw").to_pylist()
+            codes: list[bytes] = [b""] * len(raws)
+            keys: list[list[int]] = [[0]] * len(raws)
+            widths = np.array([len(r) // 8 for r in raws], np.int64)
+            for width in np.unique(widths).tolist():
+                if width not in shared.value:
+                    continue
+                mean, projection, tables = shared.value[width]
+                at = np.flatnonzero(widths == width)
+                bits = (_matrix(pd.Series([raws[k] for k in at])) - mean) @ projection > 0
+                values = np.stack([bits[:, t] @ (1 << np.arange(len(t), dtype=np.int64)) for t in tables], 1)
+                for k, code, own in zip(at.tolist(), np.packbits(bits, 1), values.tolist()):
+                    codes[k], keys[k] = code.tobytes(), own
+            cells = [*[batch.column(c) for c in ("id", "label", "raw", "h", "size")], pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["id", "label", "raw", "h", "size", "code", "keys"])
 
     return run
 
 
-def _coded(shared, chunks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projection = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(pd.Series(batch.column("raw").to_pylist()))
-            bits = (x - mean) @ projection > 0
-            edges = np.linspace(0, bits.shape[1], chunks + 1).astype(int)
-            keys = [bits[:, lo:hi] @ (1 << np.arange(hi - lo)) for lo, hi in zip(edges[:-1], edges[1:])]
-            packed = [b.tobytes() for b in np.packbits(bits, 1)]
-            cells = [*[batch.column(c) for c in ("id", "label", "raw", "size")], pa.array(packed, pa.binary()), pa.array(np.stack(keys, 1).astype(np.int32).tolist(), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cells, names=["id", "label", "raw", "size", "code", "keys"])
+_ENTRY = ["entry", "label", "place", "value"]
 
-    return run
 
-
-def _linked(least: float, radius: int):
-    """Per tile: rows (u, v null, n): links of u's class to others; rows (u, v, 0): edges that span the links."""
+def _linked(least: float):
+    """Per tile: rows (u, h, v null, n): links of u's class, the vector with hash h, to others; rows (u, 0, v, 0): edges that span the links."""
     ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["label", "place", "value", "p", "q"]):
-            ids, sizes, place = group["id"].to_numpy(), group["size"].to_numpy(), int(group["place"].iloc[0])
+        for group in runs(batches, [*_ENTRY, "p", "q"]):
+            ids, hashes, sizes, place = group["id"].to_numpy(), group["h"].to_numpy(), group["size"].to_numpy(), int(group["place"].iloc[0])
             vectors = _matrix(group["raw"])
             codes = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(group), -1)
             keys = np.stack(group["keys"].to_numpy())
@@ -122,7 +150,7 @@ def _linked(least: float, radius: int):
                     near &= a[:, None] < right
                 i, j = np.nonzero(near)
                 x, y = a[i], right[j]
-                ok = ones[codes[x] ^ codes[y]].sum(1) <= radius
+                ok = ones[codes[x] ^ codes[y]].sum(1) * 3 <= codes.shape[1] * 8
                 ok &= (keys[x] == keys[y]).argmax(1) == place
                 x, y = x[ok], y[ok]
                 np.add.at(counts, x, sizes[y])
@@ -136,47 +164,53 @@ def _linked(least: float, radius: int):
             some = np.flatnonzero(counts)
             u = np.concatenate([ids[some], np.array(us, np.int64)])
             v = pa.array([*[None] * len(some), *vs], pa.int64())
-            n = np.concatenate([counts[some], np.zeros(len(us), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, pa.array(n, pa.int64())], names=["u", "v", "n"])
+            h, n = (np.concatenate([x[some], np.zeros(len(us), np.int64)]) for x in (hashes, counts))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(h, pa.int64()), v, pa.array(n, pa.int64())], names=["u", "h", "v", "n"])
 
     return run
 
 
-def near_vectors(given: DataFrame, least: float = COSINE, sample: int = SAMPLE, chunks: int = CHUNKS, radius: int = RADIUS) -> DataFrame:
+def _models(classes: DataFrame, sample: int) -> dict[int, tuple]:
+    """By length: mean, projection, and the bits of each table. Lengths with few vectors have none."""
+    width = (F.octet_length("raw") / 8).cast("int").alias("width")
+    largest = classes.groupBy(width, "label").agg(F.count("*").alias("n")).groupBy("width").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    made = {}
+    for r in largest.where(F.col("most") > FEW).orderBy("width").collect():  # one row for each length of vectors
+        n = max(1, min(sample, SAMPLE_BYTES // (8 * r["width"])))
+        share = min(1.0, 1.2 * n / r["n"] + 100 / r["n"])
+        place = F.col("h") / 2.0**64 + 0.5
+        rows = classes.where((width == r["width"]) & (place <= share)).select("h", "raw").collect()
+        raws = [raw for _, raw in sorted((x["h"], bytes(x["raw"])) for x in rows)[:n]]
+        mean, projection = learn(_matrix(pd.Series(raws)), bits=min(r["width"], BITS))
+        made[r["width"]] = (mean, projection, plan(r["most"], projection.shape[1]))
+    return made
+
+
+def near_vectors(given: DataFrame, least: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of given (vec_id, embedding, label)."""
     spark = given.sparkSession
     plain = given.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(_NONE)).alias("id"), "embedding", F.col("label").cast("string").alias("label"))
-    widths = plain.where("size(embedding) > 0").groupBy(F.size("embedding").alias("w")).count().agg(F.max_by("w", F.struct("count", "w"))).first()
-    width = widths[0] or 0
-    rows = stored(plain.mapInArrow(_usable(width), "id long, label string, raw binary"), "vectors")
-    usable = rows.where("raw IS NOT NULL")
-    classes = stored(usable.groupBy("label", "raw").agg(F.min("id").alias("head"), F.count("*").alias("size")), "vector-classes")
-    # The sample: those with the smallest hashes; a fixed number of rows.
-    total = classes.count()
-    share = min(1.0, 1.5 * sample / max(1, total))
-    drawn = classes.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("raw").limit(sample)
-    raws = [bytes(r["raw"]) for r in drawn.collect()]
-    if raws:
-        model = learn(_matrix(pd.Series(sorted(raws))), bits=max(chunks, min(width, 64)))
-        coded = classes.select(F.col("head").alias("id"), "label", "raw", "size").mapInArrow(_coded(spark.sparkContext.broadcast(model), min(chunks, width)), "id long, label string, raw binary, size long, code binary, keys array<int>")
-        coded = stored(coded, "vector-codes")
-        entries = coded.select("id", "label", F.posexplode("keys").alias("place", "value"))
-        counts = entries.groupBy("label", "place", "value").agg(F.count("*").alias("m")).where("m > 1")
-        slim = entries.join(counts, ["label", "place", "value"])
-        slices = F.ceil(F.col("m") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
-        slim = slim.withColumn("slices", slices).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        slim = slim.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-        tiles = slim.select("id", "label", "place", "value", "p", "q", "side").join(coded, ["id", "label"])
-        order = ["label", "place", "value", "p", "q"]
-        tiles = tiles.select(*order, "side", "id", "size", "raw", "code", "keys").repartition(*order).sortWithinPartitions(*order)
-        found = stored(tiles.mapInArrow(_linked(least, radius), "u long, v long, n long"), "vector-links")
-        labels = components(found.where("v IS NOT NULL").select("u", "v"))
-    else:
-        found = spark.createDataFrame([], "u long, v long, n long")
-        labels = spark.createDataFrame([], "node long, component long")
-    outside = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("outside"))
-    merged = classes.select("head", "size", "label", "raw").join(outside.withColumnRenamed("u", "head"), "head", "left").join(labels.withColumnRenamed("node", "head"), "head", "left")
+    rows = stored(plain.mapInArrow(_usable, "id long, label string, raw binary"), "vectors")
+    classes = rows.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("id").alias("head"), F.count("*").alias("size"))
+    classes = stored(classes.withColumn("h", F.xxhash64("raw")), "vector-classes")
+    shared = spark.sparkContext.broadcast(_models(classes, sample))
+    coded = classes.select(F.col("head").alias("id"), "label", "raw", "h", "size").mapInArrow(_coded(shared), "id long, label string, raw binary, h long, size long, code binary, keys array<long>")
+    coded = stored(coded, "vector-codes")
+    entries = coded.select("id", "label", "h", F.posexplode("keys").alias("place", "value")).withColumn("entry", F.xxhash64("label", "place", "value"))
+    counts = stored(entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")), "vector-entries")
+    tables = coded.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()[0]
+    slim = hot_join(entries, counts, "entry", tables)
+    slices = F.ceil(F.col("m") / TILE).cast("int")
+    slim = slim.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("id", "h"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    slim = slim.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    order = [*_ENTRY, "p", "q"]
+    tiles = slim.select("id", "h", *order, "side").join(coded, ["id", "h", "label"])
+    tiles = tiles.select(*order, "side", "id", "h", "size", "raw", "code", "keys").repartition(*order).sortWithinPartitions(*order)
+    found = stored(tiles.mapInArrow(_linked(least), "u long, h long, v long, n long"), "vector-links")
+    labels = components(found.where("v IS NOT NULL").select("u", "v"))
+    drop_table(spark, coded, counts)
+    outside = found.where("v IS NULL").groupBy("u", "h").agg(F.sum("n").alias("outside"))
+    merged = classes.join(outside.withColumnRenamed("u", "head"), ["head", "h"], "left").join(labels.withColumnRenamed("node", "head"), "head", "left")
     merged = merged.select("label", "raw", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("links"), F.coalesce("component", "head").alias("class_component")).where("links > 0")
     made = rows.join(merged, ["label", "raw"], "left")
     component = F.coalesce("class_component", "id")

@@ -2,16 +2,18 @@
 
 For each language of the training rows, a zstandard raw-content dictionary is made of the most frequent words of a
 bounded sample of its documents, the most frequent last. A text is folded to its words (runs of letters in lower
-case), each once, and encoded with every dictionary; the smallest encoding names the language. Equal sizes go to
-the language with more sampled words, then the smaller name. score is the margin to the second best, as a share
-of it (1.0 if there is only one language). Texts whose margin is below least_margin are rejected, as are texts
-without a letter.
-
-Documented bounds: sample_docs documents a language, dictionary_bytes a dictionary. All documents are
-classified by their whole texts, without a shuffle.
-
-Nulls: a null text or one without letters is `und`, score 0.0 and rejected; a null lang teaches nothing; without any
-training row all are `und`. Repeated rows are judged alike; an empty table gives an empty result.
+case, with all repeats) and encoded whole with every dictionary, in pieces of PIECE bytes, so that the dictionary is in
+reach throughout; the smallest encoding names the language. Equal sizes go to the language with more sampled words, then
+the smaller name. score is the margin to the second best, as a share of it (1.0 if there is only one language). Texts
+whose margin is below least_margin are rejected, as are texts without a letter.
+
+Documented bounds: sample_docs documents a language, dictionary_bytes a dictionary; the languages are few enough for
+one dictionary each, so their counts are broadcast. All documents are classified by their whole texts, without a shuffle.
+
+Nulls and ties: a null text or one without letters (of Unicode's letter categories; numerals are none) is `und`, score 0.0 and
+rejected; a null lang teaches nothing; without any training row all are `und`. Repeated rows are judged alike; very long texts
+take longer, not more memory than their own; columns beside the ones named are carried if asked for; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import stored, table
 
-SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL, LEAST_MARGIN, FOLDS = 200, 65_536, 6, 0.005, 5
+SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL, LEAST_MARGIN, FOLDS, PIECE = 200, 65_536, 6, 0.005, 5, 262_144
 UNKNOWN = "und"
 #: Ids of sampled documents up to which they are broadcast; of more (very many languages) the texts are shuffled to them.
 BROADCAST_DOCS = 100_000
@@ -36,10 +38,18 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LEAD = bytes(64)
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters, in lower case."""
+    found = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # numerals such as a half are no letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
+
+
 def folded(text: str) -> bytes | None:
-    """The text's words, each once; None without letters."""
-    words = dict.fromkeys(_WORD.findall(text.lower()))
-    return _LEAD + (" " + " ".join(words) + " ").encode() if words else None
+    """The text's words; None without letters."""
+    words = words_of(text)
+    return (" " + " ".join(words) + " ").encode() if words else None
 
 
 def held_out() -> Column:
@@ -50,10 +60,13 @@ def held_out() -> Column:
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> list[tuple[str, int, bytes]]:
     """labelled: doc_id, text, lang. A list of (language, words sampled, dictionary), larger samples first."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    # Which documents: by a hash of their ids, without moving their texts. Spark cuts each map task's rows to the
-    # limit before the shuffle.
+    # Which documents: those with the smallest hashes of their ids, without moving their texts. Of a language with many documents
+    # only a share that holds three times the sample goes on; a language where chance leaves too few of them has a smaller sample.
+    counts = usable.groupBy("lang").agg(F.count("*").alias("docs"))
+    share = 3.0 * sample_docs / F.col("docs") + 100.0 / F.col("docs")
+    few = usable.select("lang", "doc_id").join(F.broadcast(counts), "lang").where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= share)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("lang", "doc_id").distinct()
+    chosen = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("lang", "doc_id").distinct()
     chosen = stored(chosen, "language-sample")
     small = chosen.count() <= BROADCAST_DOCS
     texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen) if small else chosen, ["lang", "doc_id"], "left_semi")
@@ -62,7 +75,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes:
         for batch in batches:
             langs, found = [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                own = _WORD.findall(text.lower())
+                own = words_of(text)
                 found.extend(own)
                 langs.extend([lang] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], names=["lang", "word"])
@@ -104,7 +117,8 @@ def classify(docs: DataFrame, model: list[tuple[str, int, bytes]], keep: list[st
                     scores.append(0.0)
                     out.append(True)
                     continue
-                sizes = sorted((len(coder.compress(plain)), i) for i, (_, coder) in enumerate(coders))
+                pieces = [_LEAD + plain[lo : lo + PIECE] for lo in range(0, len(plain), PIECE)]
+                sizes = sorted((sum(len(coder.compress(piece)) for piece in pieces), i) for i, (_, coder) in enumerate(coders))
                 margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
                 langs.append(coders[sizes[0][1]][0])
                 scores.append(margin)

@@ -108,13 +108,37 @@ def vectors(spark):
     v = rows[0][1]
     rows += [(900 + k, v, 0) for k in range(30)]
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, v, None), (1005, [1.0], 0), (1006, [], 0)]
-    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows += [(1100 + k, [1.0, 0.001 * k], 2) for k in range(5)] + [(1110, [0.0, 1.0], 2), (1111, [1.0, 0.0], 3)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("x"))
+
+
+def test_recall_of_small_tables(spark, monkeypatch):
+    """The same with an index for each length, as large ones have, and with hot entries."""
+    monkeypatch.setattr(op10_embeddings, "FEW", 2)
+    monkeypatch.setattr(op10_embeddings, "ENTRY", 1)
+    monkeypatch.setattr(op10_embeddings, "TILE", 8)
+    monkeypatch.setattr("sievelight.llm.components.HOT_ROWS", 5)
+    test_recall(spark)
+
+
+def test_plan():
+    for n in (10, 10_000, 10**6, 10**9):
+        tables = op10_embeddings.plan(n, 64)
+        wide = len(tables[0])
+        assert n / 2**wide <= op10_embeddings.ENTRY and 1 - (1 - op10_embeddings.AGREE**wide) ** len(tables) >= 0.94 and len(tables) < 20
+        assert all(len(set(t)) == wide for t in tables)
+
+
+def test_repeated_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 2.0], 0), (None, [1.0, 1.0], 0)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in op10_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
 
 
 def test_recall(spark):
     rows, frame = vectors(spark)
-    good = {i: (np.array(v, np.float64), c) for i, v, c in rows if c is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
-    links = {(a, b) for a, b in itertools.combinations(sorted(good), 2) if good[a][1] == good[b][1] and good[a][0] @ good[b][0] / np.sqrt((good[a][0] @ good[a][0]) * (good[b][0] @ good[b][0])) >= 0.98}
+    good = {i: (np.array(v, np.float64), c) for i, v, c in rows if c is not None and v and len(v) in (1, 2, 16) and None not in v and np.isfinite(v).all() and any(v)}
+    links = {(a, b) for a, b in itertools.combinations(sorted(good), 2) if good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.sqrt((good[a][0] @ good[a][0]) * (good[b][0] @ good[b][0])) >= 0.98}
     count = {i: 0 for i, _, _ in rows}
     for a, b in links:
         count[a] += 1
@@ -126,6 +150,7 @@ def test_recall(spark):
     assert recall >= 0.9, recall
     want = roots(count, links)
     assert sum(got[i]["component_id"] == want[i] for i in want) >= 0.95 * len(want)
+    assert [got[i]["n_links"] for i in (*range(1100, 1105), 1110, 1111)] == [4] * 5 + [0, 0] and got[1104]["component_id"] == 1100
     for i in range(1000, 1007):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 

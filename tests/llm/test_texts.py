@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -101,6 +102,8 @@ def test_held_out_accuracy(spark, data):
 
 def test_language_edge_cases(spark, docs, nothing):
     model = op4_language.learn(docs)
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2 123 ..."), (2, "\u00bdeine kleine Katze\u00b2"), (3, "eine kleine Katze " * 100_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in op4_language.classify(odd, model, ["doc_id"]).collect()} == {1: "und", 2: "de", 3: "de"}
     got = {(r["doc_id"], r["lang_pred"], r["rejected"]) for r in op4_language.classify(docs, model, ["doc_id", "size"]).collect()}
     assert (9, "und", True) in got and (7, "und", True) in got and (8, "und", True) in got and (1, "de", False) in got and (3, "en", False) in got
     assert op4_language.learn(nothing) == []
@@ -177,13 +180,73 @@ def test_official_notices(spark):
         ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-3.0-only */", "GPL-3.0"),
         ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
         ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0"),
-        ("SPDX-License-Identifier: Zlib\n\nOr maybe:\n\nMIT", ""), ("This program is free software: I wrote it.\n\nYou can redistribute it and/or modify it under the terms of the license.", ""),
+        ("SPDX-License-Identifier: Zlib\n\nOr maybe:\n\nMIT", "Zlib"), ("SPDX-License-Identifier: Other\n\nOr maybe:\n\nMIT", ""), ("This program is free software: I wrote it.\n\nYou can redistribute it and/or modify it under the terms of the license.", ""),
     ]
     rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: (r["licences"], r["n_finds"]) for r in op6_licenses.scan(rows).collect()}
     assert got == {k: (licence, 1 if licence else 0) for k, (_, licence) in enumerate(cases)}
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+{0}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def test_wrapped_notices(spark):
+    """Longest rules first, each sentence used once, two notices in one text, every known sentence with a cue."""
+    cases = [
+        (ZLIB, "Zlib", 1), (APACHE, "Apache-2.0", 1), (MIT.format(""), "MIT", 1), (MIT.format("The Software shall be used for Good, not Evil.\n\n"), "JSON", 1),
+        (MIT.format("") + "\n" + ZLIB + "\n" + MIT.format(""), "MIT,Zlib", 3),
+        (BSD + "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software.\n", "BSD-4-Clause", 1),
+        ("This program and the accompanying materials are made available under the terms\nof the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "", 0),
+        ("This program and the accompanying materials are made available under the terms\nof the Eclipse Public License 2.0 which is available at\n\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0", 1),
+        ("words " * 30_000 + "\nLicensed under CC BY 4.0.\n" + "words " * 30_000, "CC-BY-4.0", 1), (None, "", 0), ("", "", 0), ("license\n: \n;", "", 0),
+    ]
+    rows = spark.createDataFrame([(k, text, "x") for k, (text, _, _) in enumerate(cases)] + [(1, APACHE, "y")], "doc_id long, text string, ids string")
+    got = sorted((r["doc_id"], r["licences"], r["n_finds"]) for r in op6_licenses.scan(rows).collect())
+    assert got == sorted([(k, licence, n) for k, (_, licence, n) in enumerate(cases)] + [(1, "Apache-2.0", 1)])
+    assert op6_licenses.scan(rows.limit(0)).count() == 0
+    cue = re.compile("|".join(op6_licenses.CUES), re.IGNORECASE)
+    assert all(cue.search(s) for s in op6_licenses.SENTENCES.values()) and len({x for x, _ in op6_licenses.RULES}) > 30
+
+
 # -- decontamination ------------------------------------------------------------------------------------------
 
 
