@@ -55,8 +55,7 @@ SENTENCES = {
     "gpl2-ref": "This work is licensed under the GNU General Public License version 2.",
     **{f"{k}-free": _GNU.format(":", name, ",", v) for k, (name, v) in _GNU_KINDS.items()},
     **{f"{k}-free2": _GNU.format(";", name, ";", v) for k, (name, v) in _GNU_KINDS.items()},
-    **{f"{k}-only": _GNU_ONLY.format(":", name, v) for k, (name, v) in _GNU_KINDS.items()},
-    **{f"{k}-only2": _GNU_ONLY.format(";", name, v) for k, (name, v) in _GNU_KINDS.items()},
+    **{f"{k}-only": _GNU_ONLY.format(";", name, v) for k, (name, v) in _GNU_KINDS.items()},
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-copy": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     "gpl3-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
@@ -149,8 +148,8 @@ RULES = (
     ("Apache-2.0", ("apache-ref2",)),
     ("Apache-2.0", ("apache-ref",)),
     ("Apache-2.0", ("apache-grant", "apache-you-may")),
-    *((_GNU_NAMES[k], (f"{k}-{form}", "gpl-hope")) for k in _GNU_KINDS for form in ("free", "free2", "only", "only2")),
-    *((_GNU_NAMES[k], (f"{k}-{form}",)) for k in _GNU_KINDS for form in ("free", "free2", "only", "only2")),
+    *((_GNU_NAMES[k], (f"{k}-{form}", "gpl-hope")) for k in _GNU_KINDS for form in ("free", "free2", "only")),
+    *((_GNU_NAMES[k], (f"{k}-{form}",)) for k in _GNU_KINDS for form in ("free", "free2", "only")),
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-2.0", ("gpl2-ref",)),
     ("GPL-3.0", ("gpl-copy", "gpl3-preamble")),
@@ -218,9 +217,10 @@ RULES = (
 #: Each known sentence has one of these words; a fixed value.
 CUES = ("licen[cs]e", "eupl", "cc0", "reserved", "permission", "warrant", "redistribution", "software", "copyright", "conditions", "domain", "copy", "beer", "misrepresented", "distribution", "permitted", "fuck")
 _CUT = r"(?<=[.!?:;])\s+"
+#: Pieces that hold the first are evened out by the pattern. A name with a mark inside is cut: its last piece counts.
 _FILLED = (
     ("this ", r"^this (?:library|software|file|package|module|work|font|project|code|script) is (free software|distributed in the hope)", "this program is $1"),
-    ("neither the name of ", r"^neither the name of .{1,150} nor the names of (?:its |their )?contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
+    (" nor the names of ", r"^(?!neither the names ).*nor the names of (?:its |their )?contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
 )
 
 
@@ -246,7 +246,7 @@ def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
 
 def _evened(piece: Column) -> Column:
     for head, pattern, plain in _FILLED:  # only pieces that begin as the pattern does go to the regular expression
-        piece = F.when(piece.startswith(head), F.regexp_replace(piece, pattern, plain)).otherwise(piece)
+        piece = F.when(F.contains(piece, F.lit(head)), F.regexp_replace(piece, pattern, plain)).otherwise(piece)
     return piece
 
 
@@ -289,7 +289,8 @@ def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     sentences = ", ".join(f"({k}, {quoted(i)}, {quoted(s)})" for k, (i, s) in enumerate(SENTENCES.items()))
     rules = ", ".join(f"({k}, {quoted(licence)}, [{', '.join(map(quoted, ids))}])" for k, (licence, ids) in enumerate(RULES))
-    even = lambda x: rf"regexp_replace(regexp_replace({x}, '^this (library|software|file|package|module|work|font|project|code|script) is (free software|distributed in the hope)', 'this program is \2'), '^neither the name of .{{1,150}} nor the names of (its |their )?contributors may', 'neither the name of the copyright holder nor the names of its contributors may')"
+    gnu = lambda x: rf"regexp_replace({x}, '^this (library|software|file|package|module|work|font|project|code|script) is (free software|distributed in the hope)', 'this program is \2')"
+    even = lambda x: rf"CASE WHEN starts_with({x}, 'neither the names ') THEN {x} ELSE regexp_replace({gnu(x)}, '^.* nor the names of (its |their )?contributors may', 'neither the name of the copyright holder nor the names of its contributors may') END"
     plain = lambda x: even(rf"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))")
     marked = lambda x: rf"regexp_replace({x}, '([.!?:;])\s+', '\1' || chr(1), 'g')"
     return rf"""
@@ -305,8 +306,8 @@ cut AS (
   SELECT doc_id, 1 AS way, string_split_regex({marked("coalesce(text, '')")}, '\x01|\n') AS cuts FROM documents
   UNION ALL SELECT doc_id, 2, string_split_regex({marked("coalesce(text, '')")}, '\x01|\n\s*\n') FROM documents),
 tokens AS (SELECT doc_id, way, k, {plain("part")} AS piece FROM (SELECT doc_id, way, unnest(cuts) AS part, generate_subscripts(cuts, 1) AS k FROM cut)),
-some AS (SELECT doc_id, way, string_agg(coalesce(p, '|'), '' ORDER BY k) AS s FROM tokens LEFT JOIN pieces USING (piece) WHERE piece <> '' GROUP BY doc_id, way HAVING count(p) > 0),
-seqs AS (SELECT doc_id, way, array_to_string(regexp_extract_all(list_reduce(list_prepend(s, steps), lambda a, b: replace(a, split_part(b, '~', 1), split_part(b, '~', 2))), '<[^>]*>'), '') AS s FROM some, steps),
+marks AS (SELECT doc_id, way, string_agg(coalesce(p, '|'), '' ORDER BY k) AS s FROM tokens LEFT JOIN pieces USING (piece) WHERE piece <> '' GROUP BY doc_id, way HAVING count(p) > 0),
+seqs AS (SELECT doc_id, way, array_to_string(regexp_extract_all(list_reduce(list_prepend(s, steps), lambda a, b: replace(a, split_part(b, '~', 1), split_part(b, '~', 2))), '<[^>]*>'), '') AS s FROM marks, steps),
 found AS (
   SELECT doc_id, way, regexp_extract_all(s, '<([^>]*)>', 1) AS ids,
     regexp_extract_all(list_reduce(list_prepend(s, finds), lambda a, b: replace(a, split_part(b, '~', 1), split_part(b, '~', 2))), '\(([^)]*)\)', 1) AS licences FROM seqs, finds),
