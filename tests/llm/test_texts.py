@@ -48,6 +48,13 @@ def test_reply_trees(spark):
         ("<blockquote>q<p>r</blockquote>", "> q\n\n> r"),
         ("<table><tr><td><table><tr><td>1<td>2</table><td>o</table>", "1  2  o"),
         ("", ""),
+        ("<pre>a<span hidden>secret</span><script>js()</script> b<br>c</pre>", "a b\nc"),
+        ("<table><tr><td rowspan=2>A<td>1<tr><td>2</table>", "A  1\n   2"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+        ("<table><tr><td colspan=2>wide cell here<td>c<tr><td>1<td>2<td>3</table>", "wide cell here  c\n1  2            3"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>tail", "yes\ntail"),
+        (f"<table><tr><th>a<th>b<tr><td>{'word ' * 40}<td>x</table>", f"a{' ' * 120}b\n{('word ' * 24).strip()}  x\n{('word ' * 16).strip()}"),
+        ("<table><tr><td colspan=999>a<td>b<tr><td>c</table>", "a  b\nc"),
     ],
 )
 def test_rendering(page, text):
@@ -72,6 +79,57 @@ def test_nothing_visible_is_lost(page, text):
     assert op3_html.render(page) == text
 
 
+def random_page(rnd: random.Random, shown: list[str], hidden: list[str]) -> str:
+    """A page of elements that the builder leaves where they are; shown and hidden get the words that are to be seen or not."""
+    count = 0
+
+    def word(seen: bool) -> str:
+        nonlocal count
+        count += 1
+        (shown if seen else hidden).append(f"w{count}w")
+        return f" w{count}w "
+
+    def make(depth: int, there: bool, drawn_: bool, kinds: list[str]) -> str:
+        tag = rnd.choice(kinds)
+        style, here, now = "", there, drawn_
+        roll = rnd.random()
+        if roll < 0.08:
+            style, here = " hidden", False
+        elif roll < 0.14:
+            style, here = " style='color: red; display:none'", False
+        elif roll < 0.22:
+            style, now = " style='visibility: hidden'", False
+        elif roll < 0.3:
+            style, now = " style='visibility:visible'", True
+        if tag in ("script", "style", "svg-title"):
+            inside = word(False)
+            return f"<script>{inside}</script>" if tag != "svg-title" else f"<svg><title>{inside}</title></svg>"
+        if tag == "table":
+            rows = "".join("<tr>" + "".join(f"<td rowspan={rnd.randrange(3)} colspan={rnd.randrange(1, 3)}>{body(depth + 1, here, now)}</td>" for _ in range(rnd.randrange(1, 4))) + "</tr>" for _ in range(rnd.randrange(1, 4)))
+            return f"<table{style}>{rows}</table>"
+        if tag in ("ul", "ol"):
+            return f"<{tag}{style}>" + "".join(f"<li>{body(depth + 1, here, now)}</li>" for _ in range(rnd.randrange(1, 4))) + f"</{tag}>"
+        return f"<{tag}{style}>{body(depth + 1, here, now, ['b', 'span'] if tag in ('pre', 'b', 'span') else None)}</{tag}>"
+
+    def body(depth: int, there: bool, drawn_: bool, kinds: list[str] | None = None) -> str:
+        out = ""
+        for _ in range(rnd.randrange(0, 4) if depth < 5 else 0):
+            out += word(there and drawn_) if rnd.random() < 0.5 else make(depth, there, drawn_, kinds or ["div", "section", "b", "span", "pre", "table", "ul", "ol", "blockquote", "script", "svg-title"])
+        return out
+
+    return body(0, True, True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**9))
+def test_random_trees(seed):
+    """Each visible word once, none of the others."""
+    shown: list[str] = []
+    hidden: list[str] = []
+    page = random_page(random.Random(seed), shown, hidden)
+    assert sorted(re.findall(r"w\d+w", op3_html.render(page))) == sorted(shown), page
+
+
 def test_html_edge_cases(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (2, ""), (3, "<div>" * 4000 + "deep"), (None, "<p>x")], "page_id long, html string")
     got = sorted((str(r["page_id"]), r["text"], r["error"]) for r in op3_html.extract_text(rows).collect())
