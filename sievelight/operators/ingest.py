@@ -42,6 +42,24 @@ def with_language(pages: DataFrame, text: str, detect: LanguageId = stopword_lan
     return found.withColumn("lang", F.col("__lid.lang")).withColumn("lang_conf", F.col("__lid.lang_conf")).drop("__lid")
 
 
+def lazily(make: Callable[[], LanguageId]) -> LanguageId:
+    """A detector that is made at its first use, once in each Python worker: for models that are loaded from files."""
+    key = f"{make.__module__}.{make.__qualname__}"
+
+    def detect(text: str) -> tuple[str, float]:
+        from sievelight.operators.ingest import _LOADED  # the worker's own, whatever was pickled
+
+        if key not in _LOADED:
+            _LOADED[key] = make()
+        return _LOADED[key](text)
+
+    return detect
+
+
+#: A worker's detectors by what made them.
+_LOADED: dict[str, LanguageId] = {}
+
+
 def _detector(detect: LanguageId):
     @F.pandas_udf("lang string, lang_conf double")
     def judge(texts: pd.Series) -> pd.DataFrame:

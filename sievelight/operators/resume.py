@@ -42,6 +42,25 @@ def done_indices(paths: DataFrame, column: str = "path", pattern: str = r"warc_(
     return paths.select(F.nullif(found, F.lit("")).cast("long").alias("idx")).where("idx IS NOT NULL").distinct()
 
 
+def set_of(kind: str, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of either side (union), of both (common), or of left without right (difference)."""
+    a, b = left.select(key), right.select(key)
+    if kind not in ("union", "common", "difference"):
+        raise ValueError(f"unknown set operation {kind!r}: union, common or difference")
+    return a.unionByName(b).distinct() if kind == "union" else a.intersect(b) if kind == "common" else a.subtract(b)
+
+
+def with_bypass(rows: DataFrame, bypass: Column, work) -> DataFrame:
+    """work(the rows for which bypass is not true), and the others beside them; columns that work adds are null there."""
+    skipped = F.coalesce(bypass, F.lit(False))
+    return work(rows.where(~skipped)).unionByName(rows.where(skipped), allowMissingColumns=True)
+
+
+def input_order(results: DataFrame, index: str = "input_idx") -> DataFrame:
+    """Results in the order of the input, for a sink that needs it."""
+    return results.orderBy(index)
+
+
 def fill_gaps(work: DataFrame, results: DataFrame, key: str, message: str = "page was dropped before a result") -> DataFrame:
     """Every row of work with its result; where there is none, an error says so."""
     marked = results.withColumn("__has", F.lit(True))

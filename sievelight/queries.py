@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.packing import pack
-from .operators import ingest, labels, metrics, resume
+from .operators import inference, ingest, labels, metrics, resume
 from .plans.extract import Config, extract, with_content, with_labels, with_simplified
 from .tables import new_table, table
 
@@ -63,7 +63,15 @@ def domain_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.domain("url").alias("domain"))
 
 
-@query()
+#: The stand-in language detector in SQL: the share of frequent English words among the first 2,000 characters.
+_ENGLISH = ", ".join(f"'{w}'" for w in sorted(ingest.ENGLISH))
+_JUDGED = rf"""v AS (SELECT url, html, CAST(octet_length(encode(html)) AS BIGINT) AS html_bytes, {_VISIBLE} AS t FROM pages),
+w AS (SELECT *, regexp_extract_all(lower(replace(substr(t, 1, 2000), chr(10), ' ')), '[a-z]+') AS words FROM v WHERE html_bytes BETWEEN 2000 AND 500000 AND length(t) >= 200),
+j AS (SELECT *, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: x IN ({_ENGLISH}))) / len(words) ELSE 0.0 END AS share FROM w)"""
+
+
+@query(rf"""WITH {_JUDGED} SELECT url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS domain, html_bytes, round_even(least(1.0, 0.5 + 2.5 * share), 3) AS lang_conf
+FROM j WHERE share >= 0.05 AND least(1.0, 0.5 + 2.5 * share) >= 0.8""")
 def ingest_pages(spark, sf_dir):
     """The whole cascade, with the stand-in language detector."""
     return ingest.ingest(table(spark, sf_dir, "pages")).select("url", "domain", "html_bytes", "lang_conf")
@@ -266,7 +274,7 @@ def _self_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.array_join(F.slice(words, F.lit(1), F.floor(F.size(words) / 2).cast("int")), " ")
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", half.alias("half"))
     level = F.when(F.col("n_chars") < 1000, "simple").when(F.col("n_chars") < 4000, "mid").otherwise("hard")
-    return metrics.rouge_scores(docs, "doc_id", "text", "half").join(docs.select("doc_id", level.alias("level")), "doc_id")
+    return metrics.rouge_scores(docs.withColumn("level", level), "doc_id", "text", "half", keep=["level"])
 
 
 @query(f"WITH {_SELF} SELECT doc_id, round(f1, 6) AS f1, round(p, 6) AS p, round(r, 6) AS r, empty FROM s")
@@ -282,6 +290,50 @@ def report_by_level(spark, sf_dir):
     return made.select(*[F.round(c, 6).alias(c) if c.startswith(("f1", "p_", "r_")) else F.col(c) for c in made.columns])
 
 
+@query("""WITH s AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'simple' WHEN n_chars < 4000 THEN 'mid' ELSE 'hard' END AS level, coalesce(CAST(quality AS DOUBLE), 0.0) AS f1, quality IS NULL AS empty
+  FROM documents LEFT JOIN labels USING (doc_id))
+SELECT round(avg(f1), 6) AS f1_all, round(avg(f1) FILTER (WHERE level = 'simple'), 6) AS f1_simple, round(avg(f1) FILTER (WHERE level = 'mid'), 6) AS f1_mid,
+  round(avg(f1) FILTER (WHERE level = 'hard'), 6) AS f1_hard, count(*) FILTER (WHERE empty) AS n_empty, count(*) AS n_scored FROM s""")
+def report_with_missing(spark, sf_dir):
+    """Pages without a score count as 0."""
+    level = F.when(F.col("n_chars") < 1000, "simple").when(F.col("n_chars") < 4000, "mid").otherwise("hard").alias("level")
+    quality = F.col("quality").cast("double")
+    scores = table(spark, sf_dir, "labels").select("doc_id", quality.alias("f1"), quality.alias("p"), quality.alias("r"), F.lit(False).alias("empty"))
+    made = metrics.report_by_level(metrics.with_missing(scores, table(spark, sf_dir, "documents").select("doc_id", level), "doc_id"))
+    return made.select(*[F.round(c, 6).alias(c) if c.startswith("f1") else F.col(c) for c in made.columns if c not in ("p_all", "r_all")])
+
+
+@query("""SELECT * FROM (VALUES ('ours', 0.5::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE), ('a', 0.84, 0.93, 0.823, 0.774), ('b', 0.865, 0.932, 0.875, 0.786)) AS r(method, f1_all, f1_simple, f1_mid, f1_hard)""")
+def report_with_published(spark, sf_dir):
+    """A report of our own among constants."""
+    level = F.element_at(F.array(*map(F.lit, metrics.LEVELS)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    scores = table(spark, sf_dir, "nation").select(F.lit("ours").alias("method"), level.alias("level"), *[F.lit(0.5).alias(c) for c in ("f1", "p", "r")], F.lit(False).alias("empty"))
+    return metrics.with_published(metrics.report_by_level(scores, by=["method"]), [("a", 0.84, 0.93, 0.823, 0.774), ("b", 0.865, 0.932, 0.875, 0.786)])
+
+
+@query("""SELECT 'union' AS kind, doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels)
+UNION ALL SELECT 'common', doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'difference', doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels)""")
+def key_sets(spark, sf_dir):
+    some, others = table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "labels")
+    sets = [resume.set_of(kind, some, others, "doc_id").select(F.lit(kind).alias("kind"), "doc_id") for kind in ("union", "common", "difference")]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2])
+
+
+@query("SELECT doc_id, source, CASE WHEN lang = 'en' THEN NULL ELSE n_chars * 2 END AS worked FROM documents")
+def bypass_union(spark, sf_dir):
+    """Rows that need no work go by, and meet the others again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return resume.with_bypass(docs, F.col("lang") == "en", lambda rows: rows.withColumn("worked", F.col("n_chars") * 2)).select("doc_id", "source", "worked")
+
+
+@query("""SELECT count(*) AS n_pages, count(*) FILTER (WHERE lang IS NULL) AS n_failed, CAST(coalesce(sum(length(lang)), 0) AS BIGINT) AS n_chunks,
+  CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS kept_bytes FROM documents""")
+def run_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("markdown"), F.length("lang").alias("n_chunks"), F.when(F.col("lang").isNull(), "no language").alias("error"))
+    return metrics.totals(docs)
+
+
 @query(f"""WITH {_SELF}, b AS (SELECT * FROM (VALUES (0, 0.9::DOUBLE, 1.01::DOUBLE), (1, 0.8, 0.9), (2, 0.6, 0.8), (3, 0.4, 0.6), (4, 0.2, 0.4), (5, 0.0, 0.2)) AS b(bin, low, high))
 SELECT bin, low, high, count(s.doc_id) AS n, round(count(s.doc_id) / (SELECT count(*) FROM s), 6) AS share FROM b LEFT JOIN s ON f1 >= low AND f1 < high GROUP BY bin, low, high""")
 def f1_histogram(spark, sf_dir):
@@ -330,6 +382,53 @@ def simplify_block_text(spark, sf_dir):
     return made.withColumn("block_text", F.regexp_replace("block_text", r"\s+\.\.\.$", "..."))
 
 
+#: What Markdown adds or escapes, and white space.
+_BARE = r"[\s*#_`\\]+"
+
+
+@query(rf"WITH {_PAGE_BLOCKS} SELECT page_id, md5(string_agg(regexp_replace(t, '{_BARE}', '', 'g'), '' ORDER BY ord)) AS digest FROM blocks GROUP BY page_id")
+def markdown_text(spark, sf_dir):
+    """All that the blocks say is in the Markdown, in order, and nothing else."""
+    return markdown(spark, sf_dir).select("page_id", F.md5(F.regexp_replace("markdown", _BARE, "")).alias("digest"))
+
+
+@query(rf"WITH {_PAGE_BLOCKS} SELECT page_id, md5(coalesce(string_agg(regexp_replace(t, '{_BARE}', '', 'g'), '' ORDER BY ord) FILTER (WHERE ord % 2 = 1), '')) AS digest FROM blocks GROUP BY page_id")
+def main_text(spark, sf_dir):
+    """The text of the blocks labelled main, here each second one, and of no other."""
+    bare = F.regexp_replace("main_html", "<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return main_html(spark, sf_dir).select("page_id", F.md5(F.regexp_replace(bare, _BARE, "")).alias("digest"))
+
+
+@query(rf"""WITH n AS ({_NUMBERED}), s AS (
+  SELECT page_id, string_split(regexp_replace(simplified, '(<[^<]*_item_id="\d+")', chr(1) || '\1', 'g'), chr(1)) AS parts FROM n),
+b AS (SELECT page_id, trim(parts[k]) AS block FROM (SELECT page_id, parts, unnest(range(2, len(parts) + 1)) AS k FROM s))
+SELECT page_id, CAST(regexp_extract(block, '_item_id="(\d+)"', 1) AS BIGINT) AS item_id,
+  CASE WHEN len(list_filter(regexp_split_to_array(block, '\s+'), lambda t: t <> '')) >= 40 THEN 'main' ELSE 'other' END AS label FROM b""")
+def classify_blocks(spark, sf_dir):
+    """Blocks to token ids, chunks of at most 512 tokens, batches of like length, scores at the separators, and labels again."""
+    pages = _numbered(spark, sf_dir).select("page_id", T.extract_blocks("simplified").alias("blocks"))
+    found = inference.classify_pages(pages, "page_id", "blocks", inference.TokenClassifier(model=_forty, max_tokens=512))
+    rows = found.select("page_id", F.explode(F.arrays_zip("blocks", "predictions")).alias("b"))
+    return rows.select("page_id", T.item_id(F.col("b.blocks")).cast("long").alias("item_id"), labels.label_of(F.col("b.predictions")).alias("label"))
+
+
+def _forty() -> inference.Model:
+    return inference.long_blocks(40)
+
+
+@query("""SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> '')) >= 100 THEN 1 ELSE 0 END AS label FROM documents""")
+def text_quality(spark, sf_dir):
+    """Texts through a classifier, here one that calls texts of a hundred words good; its budget of tokens is the reference's own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return inference.classify_texts(docs, "text", inference.TokenClassifier(model=_hundred)).select("doc_id", "label")
+
+
+def _hundred() -> inference.Model:
+    return inference.long_blocks(100)
+
+
 @query()
 def simplify_pages(spark, sf_dir):
     return _simplified(spark, sf_dir).select("page_id", "simplified_html", "map_html", "error")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..tables import stored
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 RAW_JSON = T.StructType([T.StructField("html", T.StringType()), T.StructField("url", T.StringType())])
@@ -34,6 +37,26 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType
     return rows.withColumn("html", F.coalesce("html", F.lit(""))) if "html" in schema.names else rows
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], broadcast_splits: int = 1_000_000) -> DataFrame:
+    """path, line (from 0 in each file), value of every line, in two passes and without moving the lines.
+
+    A split's rows come in order, and splits begin at known bytes: the lines of a file's earlier splits are counted and summed up.
+    One row for each split is broadcast, unless there are more than broadcast_splits of them."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("path", "start").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = stored(splits.select("path", "start", "low", before.alias("before")), "line-splits")
+    known = F.broadcast(splits) if splits.count() <= broadcast_splits else splits
+    return rows.join(known, ["path", "start"]).select("path", (F.col("at") - F.col("low") + F.col("before")).cast("long").alias("line"), "value")
+
+
+def numbered_pages(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_JSON) -> DataFrame:
+    """json_lines() with page_id, the number of the line in its file; a line that is no JSON is an empty page."""
+    lines = numbered_lines(spark, path)
+    parsed = lines.select("path", F.col("line").alias("page_id"), F.from_json("value", schema).alias("row")).select("path", "page_id", "row.*")
+    return parsed.withColumn("html", F.coalesce("html", F.lit("")))
+
+
 def benchmark_pages(spark: SparkSession, path: str, language: str = "en", limit: int = 0) -> DataFrame:
     pages = spark.read.schema(BENCHMARK).json(path).where(F.col("meta.language") == language)
     return pages.limit(limit) if limit else pages
