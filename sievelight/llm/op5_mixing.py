@@ -8,27 +8,33 @@ taken come within a few documents of the target.
 
 The position k is not found by a window over a whole source, which may hold a third of all rows:
 documents are dealt into cells (source, size class, hash slice), cells are counted, the counts are
-prefix-summed over the few cells of a source, and only within a cell are documents numbered.
+prefix-summed over the few cells of a source, and only within a cell are documents numbered. The slices of a class grow with the
+square root of the documents, and so do the cells of a source and the documents of a cell, even if all have one size.
 
-Nulls: a null text has size 0, a null source is a source of its own (last), a null doc_id sorts first.
+Texts are read for their sizes once, and once more where whole documents are mixed; targets and counts come from the table
+of the sizes. Whole documents are shuffled once.
+
+Nulls and ties: a null text has size 0, a null source is a source of its own (last), a null doc_id sorts first.
 Rows that repeat in full are numbered one after the other; which of them gets which number makes no
 difference. Documents of size 0 get copies like any other of their source; a source whose
-size is 0 has target 0 and gets none. An empty table gives an empty result.
+size is 0 has target 0 and gets none. Texts of any length count whole. mix() keeps all columns, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, table
+from .common import ASCII_SPACE, stored, table
 
 #: Weights dealt to the sources in order, again and again.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Words wanted in all, as a multiple of the words there are; the most for one source.
 SHARE, CAP = 1.5, 2.0
-#: Hash slices of a size class: rows of one class and source meet in a window only within a slice.
+#: Least hash slices of a size class: rows of one class and source meet in a window only within a slice.
 SLICES = 64
 
 
@@ -65,38 +71,50 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.select("source", "source_size", F.least("most", F.coalesce(F.max("level").over(everything) * F.col("w"), F.col("most"))).alias("target"))
 
 
-def copies(sized: DataFrame, wanted: DataFrame, slices: int = SLICES, seed: str = "mix") -> DataFrame:
-    """sized with source_size, target and copies (long). A column row of sized is carried along."""
-    carried = [c for c in sized.columns if c == "row"]
+def slices_for(rows: int) -> int:
+    return max(SLICES, -(-math.isqrt(rows) // SLICES))
+
+
+def _celled(sized: DataFrame, slices: int) -> DataFrame:
+    """sized with its cell: __s and __n (the source without nulls), __c, __l."""
     slice_of = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long") % slices
     bits = F.length(F.bin("size"))
     size_class = (bits * 16 + F.floor(F.col("size") * 16 / F.pow(F.lit(2.0), bits - 1))).cast("long")  # sixteen classes for each doubling
-    cells = sized.withColumn("cls", size_class).withColumn("sl", slice_of)
-    counted = cells.drop("row").groupBy("source", "cls", "sl").agg(F.count("*").alias("n"))
-    along = Window.partitionBy("source").orderBy("cls", "sl").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("base", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
-    counted = counted.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "cls", "sl", "base", "source_size", "target")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit("")))), 1, 7), 16, 10).cast("double") / F.lit(float(16**7))
-    inside = Window.partitionBy("source", "cls", "sl").orderBy("size", F.col("doc_id").asc_nulls_first())
-    numbered = cells.withColumn("k", F.row_number().over(inside).cast("long"))
-    on = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.cls") == F.col("c.cls")) & (F.col("d.sl") == F.col("c.sl"))
-    joined = numbered.alias("d").join(counted.alias("c"), on).select("d.doc_id", "d.source", "d.size", *carried, "source_size", "target", (F.col("base") + F.col("k")).alias("k"))
+    return sized.withColumns({"__s": F.coalesce("source", F.lit("")), "__n": F.col("source").isNull(), "__c": size_class, "__l": slice_of})
+
+
+_CELL = ["__s", "__n", "__c", "__l"]
+
+
+def copies(sized: DataFrame, narrow: DataFrame, wanted: DataFrame, slices: int, seed: str = "mix") -> DataFrame:
+    """sized with source_size, target and copies (long); other columns of sized are carried along. narrow: the same rows' doc_id, source, size,
+    from a table; wanted: targets()."""
+    counted = _celled(narrow, slices).groupBy("source", *_CELL).agg(F.count("*").alias("n"))
+    along = Window.partitionBy("__s", "__n").orderBy("__c", "__l").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__base", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
+    counted = counted.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select(*_CELL, "__base", "source_size", "target")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("__s"))), 1, 7), 16, 10).cast("double") / F.lit(float(16**7))
+    inside = Window.partitionBy(*_CELL).orderBy("size", F.col("doc_id").asc_nulls_first())
+    joined = _celled(sized, slices).withColumn("__k", F.row_number().over(inside).cast("long")).join(counted, _CELL)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
+    k = F.col("__base") + F.col("__k")
     upto = lambda k: F.floor(rate * k.cast("double") + offset)
-    return joined.select("doc_id", "source", "size", *carried, "source_size", "target", (upto(F.col("k")) - upto(F.col("k") - 1)).cast("long").alias("copies"))
+    return joined.withColumn("copies", (upto(k) - upto(k - 1)).cast("long")).drop(*_CELL, "__k", "__base")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: every row of docs as often as it is taken, with docs' columns."""
+    narrow = stored(sizes(docs), "mix-sizes")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     sized = docs.select("doc_id", "source", words_of("text"), row)
-    taken = copies(sized, targets(sizes(docs))).where("copies > 0")
+    taken = copies(sized, narrow, targets(narrow), slices_for(narrow.count())).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return copies(sized, targets(sized)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    narrow = stored(sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "mix-sizes")
+    taken = copies(narrow, narrow, targets(narrow), slices_for(narrow.count()))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 QUERIES = {"op5_mixing": op5_mixing}
@@ -120,7 +138,7 @@ levels AS (SELECT *, CASE WHEN (wanted - full_) / open_w * w <= most THEN (wante
 targets AS (SELECT source, source_size, least(most, coalesce(max(level) OVER () * w, most)) AS target FROM levels),
 cells AS (
   SELECT *, CAST(length(bin(size)) * 16 + floor(size * 16 / pow(2.0::DOUBLE, length(bin(size)) - 1)) AS BIGINT) AS cls,
-    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT % 64 AS sl
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT % greatest(64, CAST(ceil(floor(sqrt((SELECT count(*) FROM documents))) / 64) AS BIGINT)) AS sl
   FROM sized),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, sl, size, doc_id NULLS FIRST) AS k,

@@ -185,13 +185,14 @@ def test_mix(spark, docs, nothing):
     rows = [(k, "w " * rng.randrange(1, 200), "en", "abcd"[min(3, rng.randrange(9))], 0) for k in range(3000)]
     many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long")
     sized = op5_mixing.sizes(many)
-    per = op5_mixing.copies(sized, op5_mixing.targets(sized)).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")), F.first("target"), F.max("copies"))
+    per = op5_mixing.copies(sized, sized, op5_mixing.targets(sized), 64).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")), F.first("target"), F.max("copies"))
     for _, taken, target, most in per.collect():
         assert abs(taken - target) <= 0.02 * target and most <= 2
     mixed = op5_mixing.mix(many)
     assert mixed.columns == many.columns and sorted(map(str, mixed.collect())) == sorted(map(str, op5_mixing.mix(many.repartition(7)).collect()))
     sized = op5_mixing.sizes(docs)
-    made = op5_mixing.copies(sized, op5_mixing.targets(sized))
+    made = op5_mixing.copies(sized, sized, op5_mixing.targets(sized), op5_mixing.slices_for(12))
+    assert op5_mixing.slices_for(10**7) == 64 and op5_mixing.slices_for(10**10) == 1563
     assert made.count() == docs.count() and op5_mixing.mix(docs).columns == docs.columns
     assert op5_mixing.mix(nothing).count() == 0
 
