@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import op1_minhash, op4_language, op5_mixing, op7_decontaminate, op8_tokens
-from sievelight.llm.common import new_table, stored, table
+from sievelight.llm.common import drop_table, new_table, stored, table
 from sievelight.session import ship
 
 
+#: Ids of dropped documents up to which they are broadcast; of more the documents are shuffled to them.
+BROADCAST_IDS = 1_000_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the classifier rejects: without a letter, or with no clear margin."""
     ship(spark)
@@ -23,9 +27,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates (five words, 0.8)."""
+    """Keeps the first document of each group of near duplicates (five words, 0.8). Rows of one doc_id, null or not, are one document."""
     ship(spark)
-    out = op1_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    out = stored(op1_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-dropped")
+    if out.count() <= BROADCAST_IDS:  # few enough to be sent to where the texts are
+        out = F.broadcast(out)
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -66,6 +72,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        made = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+        if k:
+            drop_table(spark, docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -90,8 +90,8 @@ def _signed(words: int):
                 los.append(lo)
                 signature = minima(values)
                 bands.append([xxhash.xxh3_64_intdigest(signature[k * ROWS : k * ROWS + ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)])
-            cells = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n", "hi", "lo", "bands"])
+            cells = [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "th", "n", "hi", "lo", "bands"])
 
     return run
 
@@ -258,8 +258,8 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), "text")
-    signed = stored(plain.mapInArrow(_signed(words), "doc_id long, n long, hi long, lo long, bands array<long>"), "minhash")
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    signed = stored(plain.mapInArrow(_signed(words), "doc_id long, th long, n long, hi long, lo long, bands array<long>"), "minhash")
     filled = signed.where("n > 0")
     classes = stored(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "minhash-classes")
     # Heads are known by their doc_id and their set: a doc_id may be the first of several classes.
@@ -271,9 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = stored(buckets.withColumn("m", F.col("n")), "minhash-buckets")
     members = stored(hot_join(members.withColumnRenamed("n", "size"), buckets, "key", BANDS * heads.count()).withColumnRenamed("size", "n"), "minhash-members")
 
-    partners = members.select("doc").distinct()
-    texts = plain.withColumnRenamed("doc_id", "doc").join(partners, "doc", "left_semi").dropDuplicates(["doc", "text"])
-    sets = stored(texts.mapInArrow(_sets(words), "doc long, hi long, lo long, items binary").dropDuplicates(["doc", "hi", "lo"]), "minhash-sets")
+    # Of a head's texts one is read again: rows are known by their id and their text's hash.
+    partners = heads.join(members.select("doc", "hi", "lo").distinct(), ["doc", "hi", "lo"], "left_semi").select("doc", "th")
+    texts = plain.withColumnRenamed("doc_id", "doc").join(partners, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    sets = stored(texts.mapInArrow(_sets(words), "doc long, hi long, lo long, items binary"), "minhash-sets")
     likely = members.where((F.col("doc") != F.col("center.doc")) & (100 * F.least("n", "center.n") >= percent * F.greatest("n", "center.n")))
     stars = likely.select(*_head("u_"), *[F.col(f"center.{c}").alias(f"v_{c}") for c in ("doc", "hi", "lo")], "m")
     stars = stored(stars.groupBy([c for c in stars.columns if c != "m"]).agg(F.max("m").alias("m")), "minhash-stars")
