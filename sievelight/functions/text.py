@@ -91,17 +91,33 @@ def response_labels(response: Column | str) -> Column:
 
 #: Instructions to put before a page's blocks, by version; our own wording.
 PROMPTS = {
-    "json": 'Every block of the page below has an id. Say for each whether it is main content or not, as JSON such as {"1": "main", "2": "other"}.\n\n',
+    "v0": 'Every block of the page below has an id. Say for each whether it is main content or not, as JSON such as {"1": "main", "2": "other"}.\n\n',
+    "v1": "Below is a page whose blocks are numbered by their _item_id. Menus, advertisements, footers and links to other pages are other; what a reader "
+    'comes for is main. Answer with JSON only: {"1": "main", "2": "other"}.\n\n',
+    "v2": "Decide for each numbered block of this page: main if it belongs to the article, its headings, tables and lists or the comments on it, else other. "
+    'Answer with one JSON object that has every id: {"1": "main", "2": "other"}.\n\n',
     "compact": "Every block of the page below has an id. Say for each whether it is main content or not, such as 1main2other.\n\n",
+    "short_compact": "Label each block main or other, such as 1main2other.\n\n",
 }
 
 
-def prompt(simplified: Column | str, version: str = "json") -> Column:
+def prompt(simplified: Column | str, version: str = "v0") -> Column:
     if version not in PROMPTS:
         raise ValueError(f"unknown prompt version {version!r}; known: {', '.join(PROMPTS)}")
     return F.concat(F.lit(PROMPTS[version]), simplified)
 
 
+#: What an error can begin with: the stage that failed.
+FAILING_STAGES = ("input", "open", "read", "simplify", "classify", "answer", "reconstruct", "render")
+
+
+def failed_stage(error: Column | str) -> Column:
+    """The stage that an error names, "other" if it names none, null without an error."""
+    given = F.col(error) if isinstance(error, str) else error
+    stage = F.regexp_extract(given, f"^({'|'.join(FAILING_STAGES)}) failed: ", 1)
+    return F.when(given.isNotNull(), F.when(stage == "", "other").otherwise(stage))
+
+
 def fits_context(tokens: Column, context: int, reserve: int = 1000) -> Column:
     """Whether a prompt leaves the reserve for the answer."""
     return tokens <= context - reserve

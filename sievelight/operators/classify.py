@@ -7,7 +7,12 @@ a trained model's quality. `labels` mode takes predictions from a table instead;
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Classifier = Callable[[list[str]], list[int]]
 
@@ -66,3 +71,45 @@ def onnx(path: str) -> Classifier:
         return [int(round(float(x))) for x in np.ravel(out)]
 
     return classify
+
+
+class Backend(Protocol):
+    """A generating model: made once for each Python worker, and given some prompts at a time."""
+
+    def generate(self, prompts: list[str]) -> list[str]: ...
+
+
+def answers(pages: DataFrame, prompt: str, make: Callable[[], Backend], batch: int = 32, attempts: int = 3) -> DataFrame:
+    """pages with answer and answer_error: what a backend says to the prompts in a column. Some prompts that fail attempts times are asked one
+    by one, and one that still fails has an empty answer and an error; a null prompt isn't asked."""
+    schema = pages.withColumn("answer", F.lit("")).withColumn("answer_error", F.lit(None).cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend = make()
+
+        def ask(prompts: list[str]) -> tuple[list[str], list[str | None]]:
+            failed = ""
+            for _ in range(attempts):
+                try:
+                    said = backend.generate(prompts)
+                    if len(said) != len(prompts):
+                        raise ValueError(f"{len(said)} answers to {len(prompts)} prompts")
+                    return list(said), [None] * len(said)
+                except Exception as error:  # errors are data
+                    failed = f"answer failed: {error}"
+            if len(prompts) == 1:
+                return [""], [failed]
+            each = [ask([p]) for p in prompts]
+            return [a[0] for a, _ in each], [e[0] for _, e in each]
+
+        for rows in batches:
+            prompts = rows.column(prompt).to_pylist()
+            said, errors = [""] * len(prompts), [None] * len(prompts)
+            some = [k for k, p in enumerate(prompts) if p is not None]
+            for lo in range(0, len(some), batch):
+                own = some[lo : lo + batch]
+                for k, answer, error in zip(own, *ask([prompts[k] for k in own])):
+                    said[k], errors[k] = answer, error
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, pa.string()), pa.array(errors, pa.string())], names=[*rows.schema.names, "answer", "answer_error"])
+
+    return pages.mapInArrow(run, schema)

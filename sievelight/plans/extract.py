@@ -14,21 +14,40 @@ from pyspark.sql import functions as F
 from ..dom.rebuild import main_html
 from ..dom.render import markdown, plain_text
 from ..dom.simplify import CUTOFF, simplify
+from ..functions.text import PROMPTS, visible_text
 from ..operators.classify import Classifier, resolve
 
 BLOCK = pa.struct([("ord", pa.int32()), ("item_id", pa.string()), ("html", pa.string()), ("content_type", pa.string())])
 BLOCK_SQL = "array<struct<ord:int,item_id:string,html:string,content_type:string>>"
 
 
+#: Markdown, the main HTML as it is, its text, or nothing; nothing, the page as it came, or its visible text.
+OUTPUTS, FALLBACKS = ("markdown", "html", "text", "none"), ("none", "bypass", "text")
+
+
 @dataclass(frozen=True)
 class Config:
     """cutoff: characters of a block; classifier: a name, an .onnx path or a callable; empty_as_blank: "" instead of an empty shell
-    for a page without labels; render: Markdown, or the cleaned HTML itself."""
+    for a page without labels; render: Markdown, or the cleaned HTML itself; output: what the column markdown holds, one of OUTPUTS; fallback:
+    what pages with an error get, one of FALLBACKS; prompt and answers: version and form for generating models."""
 
     cutoff: int = CUTOFF
     classifier: str | Classifier = "heuristic"
     empty_as_blank: bool = False
     render: bool = True
+    output: str = "markdown"
+    fallback: str = "none"
+    prompt: str = "v0"
+    answers: str = "json"
+
+    def __post_init__(self) -> None:
+        for name, known in (("output", OUTPUTS), ("fallback", FALLBACKS), ("prompt", tuple(PROMPTS)), ("answers", ("json", "compact"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"unknown {name} {getattr(self, name)!r}; known: {', '.join(known)}")
+        if self.cutoff < 1:
+            raise ValueError("cutoff must be positive")
+        if "compact" in self.prompt and self.answers != "compact":
+            raise ValueError(f"the prompt {self.prompt} asks for compact answers")
 
 
 def _stage(pages: DataFrame, reads: list[str], makes: list[tuple[str, pa.DataType, str]], work) -> DataFrame:
@@ -94,7 +113,8 @@ def with_labels(pages: DataFrame, config: Config = Config()) -> DataFrame:
 
 def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """pages (map_html, labels, error) with main_html and markdown; rows with an error keep it and have neither."""
-    blank, render = config.empty_as_blank, config.render
+    blank = config.empty_as_blank
+    output = config.output if config.render else "html"
 
     def work():
         def one(map_html, labels, error):
@@ -102,7 +122,7 @@ def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
                 return "", "", error
             try:
                 html = main_html(map_html, dict(labels or []), blank)
-                return html, markdown(html) if render else html, None
+                return html, markdown(html) if output == "markdown" else html if output == "html" else plain_text(html) if output == "text" else "", None
             except Exception as failed:
                 return "", "", f"reconstruct failed: {failed}"
 
@@ -133,6 +153,9 @@ def extract(pages: DataFrame, config: Config = Config()) -> DataFrame:
 
     The three Arrow stages run one after the other in the same task; between them no rows move."""
     done = with_content(with_labels(with_simplified(pages, config), config), config)
+    if config.fallback != "none":
+        instead = F.col("html") if config.fallback == "bypass" else visible_text("html")
+        done = done.withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(F.coalesce(instead, F.lit(""))) for c in ("main_html", "markdown")})
     main = F.size(F.map_filter("labels", lambda _, v: v == "main")).cast("long")
     counted = done.withColumn("n_blocks", F.size("labels").cast("long")).withColumn("n_main", main).withColumn("n_other", F.col("n_blocks") - F.col("n_main"))
     return counted.drop("simplified_html", "map_html", "blocks", "html")

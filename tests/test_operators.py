@@ -123,3 +123,61 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([(1, "<p>a paragraph that is long enough to keep</p>")], "page_id int, html string").write.parquet(str(tmp_path / "in"))
     main(["extract", str(tmp_path / "in"), str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).first()["n_main"] == 1
+
+
+def test_stages_as_commands(spark, tmp_path):
+    from sievelight.__main__ import main
+
+    page = "<p>a paragraph that is long enough to keep</p><nav>n</nav>"
+    spark.createDataFrame([(1, page), (2, page)], "page_id int, html string").write.parquet(str(tmp_path / "in"))
+    for command, source, target in (("preprocess", "in", "a"), ("infer", "a", "b"), ("postprocess", "b", "c"), ("postprocess", "b", "c")):
+        main([command, str(tmp_path / source), str(tmp_path / target), "--output-format", "text"])
+    got = spark.read.parquet(str(tmp_path / "c"))
+    assert sorted((r["page_id"], r["markdown"].strip(), r["error"]) for r in got.collect()) == [(k, "a paragraph that is long enough to keep", None) for k in (1, 2)]
+
+
+def test_config_and_errors(spark):
+    from sievelight.plans.extract import Config, extract
+
+    for wrong in ({"output": "pdf"}, {"fallback": "x"}, {"prompt": "v9"}, {"answers": "xml"}, {"cutoff": 0}, {"prompt": "short_compact"}):
+        with pytest.raises(ValueError):
+            Config(**wrong)
+    assert Config(prompt="short_compact", answers="compact").prompt == "short_compact"
+
+    def fails(blocks):
+        return [1] * len(blocks)
+
+    rows = spark.createDataFrame([(1, "<p>kept text of a page</p>"), (2, None)], "page_id int, html string")
+    for output, want in (("html", "<p"), ("text", "kept text of a page"), ("none", "")):
+        assert extract(rows, Config(classifier=fails, output=output, fallback="text")).where("page_id = 1").first()["markdown"].strip().find(want) >= 0
+    errors = spark.createDataFrame([("simplify failed: x",), ("boom",), (None,), ("read failed: y",)], "error string")
+    assert [r[0] for r in errors.select(T.failed_stage("error")).collect()] == ["simplify", "other", None, "read"]
+
+
+def test_backends(spark):
+    from sievelight.operators.classify import answers
+
+    def make():
+        class Backend:
+            def __init__(self):
+                self.calls = 0
+
+            def generate(self, prompts):
+                self.calls += 1
+                if any("bad" in p for p in prompts):
+                    raise RuntimeError("no answer")
+                return [f"1main{len(p)}other" for p in prompts]
+
+        return Backend()
+
+    rows = spark.createDataFrame([(1, "p"), (2, "bad"), (3, None), (4, "ppp")], "k int, prompt string").coalesce(1)
+    got = {r["k"]: (r["answer"], r["answer_error"]) for r in answers(rows, "prompt", make).collect()}
+    assert got == {1: ("1main1other", None), 2: ("", "answer failed: no answer"), 3: ("", None), 4: ("1main3other", None)}
+
+
+def test_lazy_detector(spark):
+    def make():
+        return lambda text: ("xx", 0.9)
+
+    made = ingest.with_language(spark.createDataFrame([("a",), (None,)], "t string"), "t", ingest.lazily(make))
+    assert {(r["lang"], r["lang_conf"]) for r in made.collect()} == {("xx", 0.9)}
