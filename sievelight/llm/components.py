@@ -12,29 +12,38 @@ HOT_KEYS, HOT_ROWS = 1000, 1000
 
 
 def hot_join(rows: DataFrame, per: DataFrame, on: str, total: int) -> DataFrame:
-    """rows joined with per, which has one row for each value of on, and as n how often rows has it. total: the rows of rows.
+    """rows joined with per, a table with one row for each value of on, and as n how often rows has it. total: the rows of rows.
 
     A value with at least one in HOT_KEYS of all rows is hot. There are at most HOT_KEYS of these, so they are broadcast, and their rows
     stay where they are; all other rows meet by value, and no task has to take more than one in HOT_KEYS of them for one value."""
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = F.broadcast(per.where(F.col("n") >= least).drop("n"))
+    hot = per.where(F.col("n") >= least).drop("n")
+    if hot.isEmpty():
+        return rows.join(per.drop("n"), on)
+    hot = F.broadcast(hot)
     rest = rows.join(hot.select(on), on, "left_anti").join(per.where(F.col("n") < least).drop("n"), on)
     return rows.join(hot, on).unionByName(rest)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u, linked to the smallest of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return hot_join(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = stored(least, "least")
+    made = hot_join(both.where("v > u"), least, "u", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    made = stored(made, "edges")
+    drop_table(edges.sparkSession, least)
+    return made
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """u and every smaller neighbour of it, linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = hot_join(down, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    moved = hot_join(down, least, "u", edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    made = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    drop_table(edges.sparkSession, least)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,8 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = None
     while True:
-        large = stored(_large_star(now, now.count()), "edges")
-        after = stored(_small_star(large, large.count()), "edges")
+        large = _large_star(now)
+        after = _small_star(large)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(spark, now, large)
         now = after

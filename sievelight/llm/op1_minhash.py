@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, stored, table
+from .common import drop_table, stored, table, trimming
 from .components import components, hot_join
 
 #: Words of a shingle, least similarity in hundredths.
@@ -145,7 +145,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     second = sets.select(*_head("v_"), F.col("items").alias("y")).join(wanted, ["v_doc", "v_hi", "v_lo"])
     second = second.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("m")
     both = first.join(second, ["v_doc", "v_hi", "v_lo", "copy"]).select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"), "x", "y")
-    return both.mapInArrow(_confirmed(percent), "u long, v long")
+    return both.mapInArrow(trimming(_confirmed(percent)), "u long, v long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -252,14 +252,14 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     left = mixed.where("label <> most").select(*head, F.lit(0).alias("side"), own("other_slices").alias("p"), all_of("slices").alias("q"))
     right = mixed.select(*head, F.lit(1).alias("side"), all_of("other_slices").alias("p"), own("slices").alias("q"))
     tiles = left.unionByName(right).join(sets, ["doc", "hi", "lo"]).select("key", "p", "q", "side", "doc", "n", "label", "items")
-    return tiles.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiled(percent), "u long, v long")
+    return tiles.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(trimming(_tiled(percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    signed = stored(plain.mapInArrow(_signed(words), "doc_id long, th long, n long, hi long, lo long, bands array<long>"), "minhash")
+    signed = stored(plain.mapInArrow(trimming(_signed(words)), "doc_id long, th long, n long, hi long, lo long, bands array<long>"), "minhash")
     filled = signed.where("n > 0")
     classes = stored(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "minhash-classes")
     # Heads are known by their doc_id and their set: a doc_id may be the first of several classes.
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # Of a head's texts one is read again: rows are known by their id and their text's hash.
     partners = heads.join(members.select("doc", "hi", "lo").distinct(), ["doc", "hi", "lo"], "left_semi").select("doc", "th")
     texts = plain.withColumnRenamed("doc_id", "doc").join(partners, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
-    sets = stored(texts.mapInArrow(_sets(words), "doc long, hi long, lo long, items binary"), "minhash-sets")
+    sets = stored(texts.mapInArrow(trimming(_sets(words)), "doc long, hi long, lo long, items binary"), "minhash-sets")
     likely = members.where((F.col("doc") != F.col("center.doc")) & (100 * F.least("n", "center.n") >= percent * F.greatest("n", "center.n")))
     stars = likely.select(*_head("u_"), *[F.col(f"center.{c}").alias(f"v_{c}") for c in ("doc", "hi", "lo")], "m")
     stars = stored(stars.groupBy([c for c in stars.columns if c != "m"]).agg(F.max("m").alias("m")), "minhash-stars")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import stored, table, trimming
 
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL, LEAST_MARGIN, FOLDS, PIECE = 200, 65_536, 6, 0.005, 5, 262_144
 UNKNOWN = "und"
@@ -125,7 +125,7 @@ def classify(docs: DataFrame, model: list[tuple[str, int, bytes]], keep: list[st
                 out.append(margin < least_margin)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
-    made = given.mapInArrow(run, schema)
+    made = given.mapInArrow(trimming(run), schema)
     return made.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score", "rejected")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, stored, table
+from .common import drop_table, stored, table, trimming
 
 #: Words of a window; items that must occur before a document counts as contaminated; words of one automaton.
 WINDOW, LIMIT, SHARD_WORDS = 8, 2, 250_000
@@ -324,7 +324,7 @@ def clean(docs: DataFrame, automata: Shards, length: int = LENGTH, limit: int =
     for k in range(automata.n):
         last = k == automata.n - 1
         shared = spark.sparkContext.broadcast(automata.build(k))
-        after = found.mapInArrow(runner(shared, last), docs.schema if last else found.schema)
+        after = found.mapInArrow(trimming(runner(shared, last)), docs.schema if last else found.schema)
         if not last:
             after = stored(after, "decontaminate-shard")
             shared.destroy()

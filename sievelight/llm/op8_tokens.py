@@ -26,8 +26,6 @@ their texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import os
 import re
 import zlib
@@ -41,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import range_coder
-from .common import new_table, table
+from .common import new_table, table, trim
 
 #: Pieces of each of a worker's two caches, code points of a piece that is kept at most, code points of texts that are tokenised together.
 TOKENIZER, END_ID, CACHE, KEPT_PIECE, TOGETHER = "byte_bpe_50k.json", 2, 60_000, 40, 1_000_000
@@ -131,13 +129,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def trim() -> None:
-    """Gives the memory of arrays that are gone back to the system, where the C library can: an idle worker then holds little."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def coded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[tuple[int | None, bytes]]:
     """doc_id and ids of the rows, some texts at a time."""
     for batch in batches:

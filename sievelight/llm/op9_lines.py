@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, stored, table
+from .common import drop_table, stored, table, trimming
 from .cuckoo import CuckooFilter
 
 #: Code points of a key that counts; keys of a shard; bytes of all filters up to which they are broadcast; hot keys at most.
@@ -82,7 +82,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def references(docs: DataFrame) -> DataFrame:
     """hi, lo, n_rows, first, last: the exact table of all keys."""
-    keys = _plain(docs).select("doc_id", "text").mapInArrow(_distinct_keys, "doc_id long, hi long, lo long")
+    keys = _plain(docs).select("doc_id", "text").mapInArrow(trimming(_distinct_keys), "doc_id long, hi long, lo long")
     return keys.groupBy("hi", "lo").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
@@ -209,10 +209,10 @@ def resolve(docs: DataFrame, shared: DataFrame, broadcast_bytes: int = BROADCAST
     schema = "doc_id long, th long, tn int, line int, hi long, lo long"
     if n * 5 <= broadcast_bytes:  # a filter takes at most two bytes for each of 1 / 0.85 slots, rounded up to a power of two
         built = {r["shard"]: bytes(r["raw"]) for r in filters(shared, shards).collect()}
-        maybe = plain.mapInArrow(_lines(hot, context.broadcast(built), shards), schema)
+        maybe = plain.mapInArrow(trimming(_lines(hot, context.broadcast(built), shards)), schema)
         found = maybe.join(shared.select("hi", "lo", "first"), ["hi", "lo"], "left").where("hi IS NULL OR doc_id > first").select(*_ROW, "line")
     else:
-        lines = plain.mapInArrow(_lines(hot, None, shards), schema)
+        lines = plain.mapInArrow(trimming(_lines(hot, None, shards)), schema)
         found = lines.where("hi IS NULL").select(*_ROW, "line").unionByName(_sharded(lines.where("hi IS NOT NULL"), shared, filters(shared, shards), shards))
     drops = found.groupBy(*_ROW).agg(F.collect_set("line").alias("drops"))
     made = plain.join(drops, _ROW, "left").select("doc_id", "text", "drops").mapInArrow(_rebuilt, "doc_id long, text string, n_lines long, n_dropped long")
@@ -301,7 +301,7 @@ class LineStore:
 
     def insert(self, docs: DataFrame) -> None:
         """Adds documents; a doc_id that is held already gets the new lines beside its old ones."""
-        keys = _plain(docs).select("doc_id", "text").mapInArrow(_distinct_keys, "doc_id long, hi long, lo long").select("hi", "lo", "doc_id").distinct()
+        keys = _plain(docs).select("doc_id", "text").mapInArrow(trimming(_distinct_keys), "doc_id long, hi long, lo long").select("hi", "lo", "doc_id").distinct()
         posted = stored(keys.join(self.postings, ["hi", "lo", "doc_id"], "left_anti"), "line-posted")
         new = self.unknown(posted.select("hi", "lo").distinct())
         self._segment(posted)
