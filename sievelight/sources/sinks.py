@@ -25,6 +25,13 @@ def parquet_results(results: DataFrame, path: str, shard: str | None = None, com
     (writer.partitionBy(shard) if shard else writer).parquet(path)
 
 
+def scores(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Scores as readers.scores() reads them, so that pages are scored once."""
+    from .readers import SCORE
+
+    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCORE]).write.mode(mode).parquet(path)
+
+
 def mark_done(keys: DataFrame, path: str) -> None:
     """Appends keys to the table of what is done."""
     keys.distinct().write.mode("append").parquet(path)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 RECORD = "rec_type string, url string, status int, content_type string, body binary, error string"
 _KIND = pa.schema([("rec_type", pa.string()), ("url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("body", pa.binary()), ("error", pa.string())])
-#: Bytes of bodies after which a batch of records leaves.
-BATCH_BYTES = 8_000_000
+#: Bytes of bodies after which a batch of records leaves; bytes read from a stream at once; seconds to wait for a server.
+BATCH_BYTES, READ_BYTES, TIMEOUT = 8_000_000, 1 << 20, 300
 
 
 def _headers(stream: io.BufferedIOBase) -> dict[str, str]:
@@ -106,19 +106,28 @@ def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.mapInArrow(run, f"path string, {RECORD}")
 
 
+def _opened(name: str):
+    """A file, from a server too, as a stream of bytes."""
+    if name.startswith(("http://", "https://")):
+        from urllib.request import urlopen
+
+        return urlopen(name, timeout=TIMEOUT)
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
+    return system.open_input_stream(inside, compression=None)
+
+
 def stream_warc(paths: DataFrame, column: str = "path") -> DataFrame:
-    """The same for files whose paths or URIs stand in a column, each opened as a stream in its task: no file is ever held whole.
+    """The same for files whose paths, URIs or web addresses stand in a column, each opened as a stream in its task: no file is ever held whole.
     A file that can't be opened is a row with an error. Files are dealt out one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for name in batch.column("path").to_pylist():
                 try:
-                    system, inside = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
-                    with system.open_input_stream(inside, compression=None) as stream:
-                        yield from _batches(name, records(io.BufferedReader(stream, 1 << 20)), kind)
+                    with _opened(name) as stream:
+                        yield from _batches(name, records(io.BufferedReader(stream, READ_BYTES)), kind)
                 except (OSError, pa.ArrowException, TypeError) as failed:
                     yield from _batches(str(name), iter([{**dict.fromkeys(_KIND.names), "error": f"open failed: {failed}"}]), kind)
 

@@ -4,6 +4,7 @@ import gzip
 import json
 
 import zstandard
+from pyspark.sql import functions as F
 
 from sievelight.sources import readers, sinks, warc
 
@@ -109,3 +110,30 @@ def test_line_numbers(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {(r["path"].rsplit("/", 1)[-1], r["page_id"]): r["html"] for r in rows} == wanted and len(rows) == len(wanted)
     assert [(r["page_id"], r["html"]) for r in plain] == [(0, "")]
+
+
+def test_warc_from_a_server(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from sievelight.sources import warc
+
+    (tmp_path / "a.warc").write_bytes(b"".join(_page_record("response", f"http://x/{k}", b"<p>%d</p>" % k) for k in range(20)))
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        found = warc.file_totals(warc.stream_warc(spark.createDataFrame([(f"{base}/a.warc",), (f"{base}/none.warc",)], "path string"))).collect()
+    finally:
+        server.shutdown()
+    assert {(r["path"].rsplit("/", 1)[-1], r["ok"], r["records"]) for r in found} == {("a.warc", True, 20), ("none.warc", False, 0)}
+
+
+def test_score_cache(spark, tmp_path):
+    from sievelight.sources import readers, sinks
+
+    rows = spark.createDataFrame([(7, 0.5, 0.25, 1.0, False)], "page_idx int, f1 double, p double, r double, empty boolean").withColumn("more", F.lit(1))
+    sinks.scores(rows, str(tmp_path / "scores"))
+    assert [tuple(r) for r in readers.scores(spark, str(tmp_path / "scores")).collect()] == [("7", 0.5, 0.25, 1.0, False)]
