@@ -33,6 +33,16 @@ def test_reply_trees(spark):
     assert op2_chat.format_trees(trees.limit(0)).count() == 0
 
 
+def test_odd_conversations(spark, duck):
+    """Repeated rows, equal turns, null turns, roles and texts, long texts and other columns: as the SQL says."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, None, None), (2, 5, "assistant", "x " * 100_000), (2, 5, None, ""), (3, 1, "ass\nistant", "<|im_end|>&lt;|"), (4, 2, "assistant", None)]
+    frame = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, node string")
+    made = op2_chat.format_trees(op2_chat.linear(frame), best=1).withColumn("turns", op2_chat.unformat(F.col("formatted"))).collect()
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    want = {c: [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)] for c in {r[0] for r in rows}}
+    assert {r["tree"]: [(t["role"], t["text"]) for t in r["turns"]] for r in made} == want and all(r["branch_rank"] == 1 for r in made)
+
+
 # -- HTML -----------------------------------------------------------------------------------------------------
 
 
