@@ -21,7 +21,8 @@ A worker holds a group's ids and the coder's arrays for AT_ONCE of them, whateve
 document that is longer than a group adds its own ids.
 
 Nulls and ties: a null text is empty and has the end id only; null doc_ids come first; rows of equal doc_id are in order of
-their texts; an empty table gives an empty result.
+their texts, and only those whose texts begin alike have to meet in one task; texts of any length are taken whole; columns beside doc_id
+and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,7 +147,8 @@ def coded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[tuple[i
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes docs (doc_id, text) to a new table at path. tokenizer: a file, by default the public one on each executor."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = given.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges are cut between texts of one doc_id too, by their first characters, in the order of the sort.
+    placed = given.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 24)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = tokens_of(tokenizer or tokenizer_path()), np.array([end_id], "<u4").tobytes()
