@@ -429,6 +429,50 @@ def _hundred() -> inference.Model:
     return inference.long_blocks(100)
 
 
+#: A page that asks for one decision of simplification after the other; @ stands for the page's own words.
+_RULES_PAGE = (
+    '<html><body><div class="nav">n</div><p>@<br>@ 2</p><div style="display: none">z</div><ul><li>1 @<li>2<li>3<li>4 @</ul>'
+    '<dl><dt>a<dd>1<dt>b<dd>2<dt>c<dd>3</dl><script>var x = "@";</script><details><summary>s @</summary><p>closed</details>'
+    "<details open><summary>o</summary><p>open @</details><table><caption>@</caption><tr><td>1</td></tr></table>"
+    "<table><tr><td><div>@</div></td><td><div>right</div></td></tr></table><div>x @<p>y</p>x @</div><p>" + "word " * 150 + "</p>"
+    '<img src="data:image/png;base64,AA" alt="pic"><section><p>a</p><p>@</p></section></body></html>'
+)
+_WORDS = "'Page ' || page_id"
+
+
+def _rules_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.lit("Page "), F.col("page_id").cast("string"))
+    return with_simplified(table(spark, sf_dir, "pages").select("page_id", F.replace(F.lit(_RULES_PAGE), F.lit("@"), words).alias("html")))
+
+
+@query(f"""WITH t AS (SELECT page_id, {_WORDS} AS t FROM pages),
+b AS (SELECT page_id, [t, t || ' 2', '1 ' || t || '...4 ' || t, 'a1...c3', 's ' || t, 'o', 'open ' || t, t || '1', t, 'right', 'x ' || t, 'y', rpad('', 500, 'word ') || '...', 'a', t] AS b FROM t)
+SELECT page_id, CAST(unnest(range(1, len(b) + 1)) AS BIGINT) AS ord, regexp_replace(unnest(b), '\\s+[.]{{3}}$', '...') AS block_text FROM b""")
+def simplify_rules(spark, sf_dir):
+    """Breaks, hidden and removed elements, shortened lists, details, both kinds of tables, repeated runs, cut text: the blocks they make."""
+    blocks = _rules_pages(spark, sf_dir).select("page_id", F.inline("blocks"))
+    text = F.regexp_replace(F.trim(F.regexp_replace("html", "<[^>]*>", "")), r"\s+\.\.\.$", "...")
+    return blocks.select("page_id", (F.col("ord") + 1).cast("long").alias("ord"), text.alias("block_text"))
+
+
+@query(f"""WITH t AS (SELECT page_id, {_WORDS} AS t FROM pages)
+SELECT page_id, '<html><body><p>' || t || '<br></p><ul _item_id="3"><li>1 ' || t || '</li><li>2</li><li>3</li><li>4 ' || t || '</li></ul><details><summary _item_id="5">s ' || t
+  || '</summary></details><details open=""><p _item_id="7">open ' || t || '</p></details><table><tbody><tr><td><div _item_id="9">' || t
+  || '</div></td></tr></tbody></table><div>x ' || t || '</div><p _item_id="13">' || repeat('word ', 150) || '</p><section><p _item_id="15">' || t || '</p></section></body></html>' AS main_html FROM t""")
+def rebuild_rules(spark, sf_dir):
+    """The same page with each second block kept: whole elements, their ancestors, and nothing of the others."""
+    return with_content(with_labels(_rules_pages(spark, sf_dir), Config(classifier="alternating"))).select("page_id", "main_html")
+
+
+@query(f"""WITH t AS (SELECT page_id, {_WORDS} AS t FROM pages)
+SELECT page_id, t || chr(10) || chr(10) || '  * 1 ' || t || chr(10) || '  * 2' || chr(10) || '  * 3' || chr(10) || '  * 4 ' || t || chr(10) || chr(10) || 's ' || t || chr(10) || chr(10)
+  || 'open ' || t || chr(10) || chr(10) || t || chr(10) || chr(10) || 'x ' || t || chr(10) || chr(10) || trim(repeat('word ', 150)) || chr(10) || chr(10) || t AS markdown FROM t""")
+def markdown_rules(spark, sf_dir):
+    """And its Markdown."""
+    made = with_content(with_labels(_rules_pages(spark, sf_dir), Config(classifier="alternating")))
+    return made.select("page_id", F.trim(F.regexp_replace("markdown", r"^\n+|\n+$", "")).alias("markdown"))
+
+
 @query()
 def simplify_pages(spark, sf_dir):
     return _simplified(spark, sf_dir).select("page_id", "simplified_html", "map_html", "error")
