@@ -9,6 +9,7 @@ from .functions import text as T
 from .functions.packing import pack
 from .operators import inference, ingest, labels, metrics, resume
 from .plans.extract import Config, extract, with_content, with_labels, with_simplified
+from .sources import readers, sinks
 from .tables import new_table, table
 
 Q: dict = {}
@@ -517,3 +518,37 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(target).select("page_id", "n_blocks", "n_main", "n_other", "markdown", "error")
 
 
+@query("SELECT page_id, 3 + CAST(len(string_split(html, '<p>')) - 1 AS BIGINT) AS n_blocks FROM pages")
+def stream_block_count(spark, sf_dir):
+    """Every page of the stream once, with its blocks."""
+    return stream_extract(spark, sf_dir).select("page_id", "n_blocks")
+
+
+# -- sources and sinks ----------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS line, md5(url) AS digest FROM pages")
+def line_numbers(spark, sf_dir):
+    """JSON lines in one file, read back with their line numbers over its splits."""
+    target = new_table(spark, "lines")
+    table(spark, sf_dir, "pages").select("page_id", "url").orderBy("page_id").coalesce(1).write.json(target)
+    back = readers.numbered_lines(spark, target)
+    return back.select(F.get_json_object("value", "$.page_id").cast("long").alias("page_id"), "line", F.md5(F.get_json_object("value", "$.url")).alias("digest"))
+
+
+@query("SELECT page_id, url, md5(html) AS digest FROM pages")
+def zstd_round_trip(spark, sf_dir):
+    """JSON lines in zstd files, written by tasks and committed together, and read back."""
+    target, given = new_table(spark, "zstd"), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    sinks.zstd_json(given, target)
+    return readers.json_lines(spark, readers.shards(spark, target), given.schema).select("page_id", "url", F.md5("html").alias("digest"))
+
+
+@query("""SELECT page_id, '{"' || page_id || '":"main"}' AS labels, 'Seite ä ' || page_id AS markdown FROM pages""")
+def json_results(spark, sf_dir):
+    """Results as JSON lines, with characters beyond ASCII, and read back."""
+    target, key = new_table(spark, "results"), F.col("page_id").cast("string")
+    made = table(spark, sf_dir, "pages").select("page_id", F.create_map(key, F.lit("main")).alias("labels"), F.lit("<p>x").alias("main_html"), F.concat(F.lit("Seite ä "), key).alias("markdown"), F.lit(None).cast("string").alias("error"))
+    sinks.json_results(made, target)
+    back = spark.read.schema("page_id long, labels map<string,string>, html string, markdown string, error string").json(target)
+    return back.where("html = '<p>x' AND error IS NULL").select("page_id", F.to_json("labels").alias("labels"), "markdown")
