@@ -61,6 +61,9 @@ class _Builder(HTMLParser):
             self.in_body = True
             self.open = [self.root, self.body]
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # no one asks for lines and columns, and counting them takes time
+
     def _in_scope(self, tags: frozenset[str] | set[str], extra: frozenset[str] | set[str] = frozenset()) -> bool:
         for node in reversed(self.open):
             if node.tag in tags:
