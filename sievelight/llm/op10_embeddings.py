@@ -39,7 +39,7 @@ from .op1_minhash import runs
 #: Least cosine; vectors and bytes of the sample that a rotation is learned from; rounds; bits of a code at most.
 COSINE, SAMPLE, SAMPLE_BYTES, ROUNDS, BITS = 0.98, 20_000, 48_000_000, 30, 64
 #: Vectors of an entry that tables are planned for; vectors of a length up to which they are one entry; members of one side of a tile.
-ENTRY, FEW, TILE = 64, 500, 512
+ENTRY, FEW, TILE = 64, 500, 256
 #: Share of bits that agree in the codes of two vectors at the threshold.
 AGREE = 0.936
 _NONE = -(2**63)
