@@ -74,12 +74,14 @@ class _Lanes:
 class _Models:
     """The tables of all blocks, flat."""
 
-    def __init__(self, lanes: _Lanes, blocks: int):
+    def __init__(self, lanes: _Lanes, blocks: int, wide: bool):
         self.lanes, self.blocks = lanes, blocks
+        self.bits, self.kind = (32, np.int64) if wide else (16, np.int32)
+        self.id = (1 << self.bits) - 1
         self.base1, self.base2 = lanes.block << ONE_BITS, lanes.block << TWO_BITS
         self.cells = lanes.block << 6
-        # Guesses: confidence << 32 (order 2: << 35) | id.
-        self.one, self.two = np.zeros(blocks << ONE_BITS, np.int64), np.zeros(blocks << TWO_BITS, np.int64)
+        # Guesses: confidence << bits (order 2: << bits + 3) | id.
+        self.one, self.two = np.zeros(blocks << ONE_BITS, self.kind), np.zeros(blocks << TWO_BITS, self.kind)
         self.known = np.zeros(0, np.int64)  # block << 50 | id << 18 | count, in order
         two, one = np.divmod(np.arange(64), 8)
         self.seen = np.full((blocks, 64), 64.0)
@@ -108,17 +110,17 @@ class _Models:
                 ids, i1, i2, block, cell = ids[on], i1[on], i2[on], block[on], cell[on]
             ids, i1, i2, block, cell = (x.ravel() for x in (ids, i1, i2, block, cell))
             one, two = self.one.take(i1), self.two.take(i2)
-            cell = cell + (one >> 32) + (two >> 32)
-            hit2 = ((two & _LOW) == ids) & (two > _LOW)
-            hit1 = ((one & _LOW) == ids) & (one > _LOW) & ~hit2
+            cell = cell + (one >> self.bits) + (two >> self.bits)
+            short = ids.astype(self.kind)
+            hit2 = ((two & self.id) == short) & (two > self.id)
+            hit1 = ((one & self.id) == short) & (one > self.id) & ~hit2
             flat = self.blocks << 6
             self.seen += np.bincount(cell, minlength=flat).reshape(-1, 64)
             self.hits2 += np.bincount(cell[hit2], minlength=flat).reshape(-1, 64)
             self.hits1 += np.bincount(cell[hit1], minlength=flat).reshape(-1, 64)
-            keys.append(block << 32 | ids)
             self.plain += np.bincount(block[~(hit1 | hit2)], minlength=self.blocks)
-            self._guess(self.one, one, i1, ids, 32)
-            self._guess(self.two, two, i2, ids, 35)
+            self._guess(self.one, one, i1, short, self.bits)
+            self._guess(self.two, two, i2, short, self.bits + 3)
             keys.append(block << 32 | ids)
         self._count(np.concatenate(keys))
         self.novel /= 2  # older epochs count less
@@ -126,11 +128,10 @@ class _Models:
         self._mix()
         self._zero()
 
-    @staticmethod
-    def _guess(table: np.ndarray, held: np.ndarray, slot: np.ndarray, ids: np.ndarray, shift: int) -> None:
+    def _guess(self, table: np.ndarray, held: np.ndarray, slot: np.ndarray, ids: np.ndarray, shift: int) -> None:
         """The last id at a slot becomes its guess; that id also moves the slot's confidence."""
         was = held >> shift
-        sure = np.maximum(was + np.where((held & _LOW) == ids, 2, -2), 1)
+        sure = np.maximum(was + np.where((held & self.id) == ids, self.kind(2), self.kind(-2)), 1)
         np.minimum(sure, 7, out=sure)
         sure[was == 0] = 1
         table[slot] = sure << shift | ids
@@ -180,7 +181,7 @@ class _Models:
 
 def _planned(past: np.ndarray, lanes: _Lanes, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the coder does: starts, frequencies and whether an escape follows, as (steps, lanes)."""
-    models = _Models(lanes, blocks)
+    models = _Models(lanes, blocks, int(past.max()) >= 1 << 16)
     if int(past.max()) < 1 << 16:
         used = np.zeros(1 << 16, np.int32)
         used[past] = 1
@@ -200,9 +201,9 @@ def _planned(past: np.ndarray, lanes: _Lanes, blocks: int) -> tuple[np.ndarray,
             live = lanes.live[lo]
             raw = past[lo : hi + 2, :live]
             some = raw.astype(np.int64)
-            ids, (i1, i2) = some[2:], models.slots(some[:-2], some[1:-1], live)
+            ids, (i1, i2) = raw[2:].astype(models.kind), models.slots(some[:-2], some[1:-1], live)
             one, two = models.one.take(i1), models.two.take(i2)
-            mix = models.shares.take((one >> 32) + (two >> 32) + models.cells[:live])
+            mix = models.shares.take(models.cells[:live] + (one >> models.bits) + (two >> models.bits))
             both, m2 = mix >> 20, mix & ((1 << 20) - 1)
             dense = dense_of.take(raw[2:]) if dense_of is not None else np.searchsorted(names, raw[2:])
             entry = where.take(row[:live] + dense)
@@ -211,8 +212,8 @@ def _planned(past: np.ndarray, lanes: _Lanes, blocks: int) -> tuple[np.ndarray,
             rest = PARTS - both
             s = both + ((zero >> 32 & (ZERO - 1)) * rest >> ZERO_BITS)
             f = both + ((zero >> 46) * rest >> ZERO_BITS) - s
-            hit2 = (two > _LOW) & ((two & _LOW) == ids)
-            hit1 = (one > _LOW) & ((one & _LOW) == ids) & ~hit2
+            hit2 = (two > models.id) & ((two & models.id) == ids)
+            hit1 = (one > models.id) & ((one & models.id) == ids) & ~hit2
             starts[lo:hi, :live] = np.where(hit2, 0, np.where(hit1, m2, s))
             freqs[lo:hi, :live] = np.where(hit2, m2, np.where(hit1, both - m2, f))
             escaped[lo:hi, :live] = novel & ~(hit1 | hit2)
@@ -248,32 +249,32 @@ def _encoded(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
         past[2 : 2 + size, lane] = blocks[block][first : first + size]
     starts, freqs, escaped = _planned(past, lanes, len(blocks))
     low, size, sent = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64), np.zeros(n, np.int64)
-    cells = np.zeros((n, 2 * lanes.steps + 8), np.uint32)  # grows if escapes need more
+    cells = np.zeros((2 * lanes.steps + 8, n), np.uint32)  # words by place and lane; grows if escapes need more
     most = 0  # words a lane has sent at most
 
     def due(lo: np.ndarray, sz: np.ndarray, who: np.ndarray | None) -> None:
         nonlocal most
-        short = np.flatnonzero(sz < _LEAST)
+        short = (sz < _LEAST).nonzero()[0]
         if len(short):
-            lane = short if who is None else who[short]
-            was, at = lo[short], sent[lane]
-            cells[lane, at] = was >> 32
+            lane = short if who is None else who.take(short)
+            was, at = lo.take(short), sent.take(lane)
+            cells[at, lane] = was >> 32
             lo[short] = (was & _LOW) << 16
-            sz[short] <<= 16
+            sz[short] = sz.take(short) << 16
             sent[lane] = at + 1
             most += 1
 
     for t, live in enumerate(lanes.live):
-        if most + 8 > cells.shape[1]:
+        if most + 8 > len(cells):
             most = int(sent.max())
-            if most + 64 > cells.shape[1]:
-                cells = np.concatenate([cells, np.zeros_like(cells)], 1)
+            if most + 64 > len(cells):
+                cells = np.concatenate([cells, np.zeros_like(cells)])
         lo, sz = low[:live], size[:live]
         part = sz >> PART_BITS
         lo += part * starts[t, :live]
         np.multiply(part, freqs[t, :live], out=sz)
         due(lo, sz, None)
-        who = np.flatnonzero(escaped[t, :live])
+        who = escaped[t, :live].nonzero()[0]
         if len(who):
             ids = past[t + 2, who].astype(np.int64)
             for piece in (ids & 0xFFFF, ids >> 16) if wide else (ids,):
@@ -282,17 +283,19 @@ def _encoded(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
                 due(lo, sz, who)
                 low[who], size[who] = lo, sz
     for _ in range(3):
-        cells[np.arange(n), sent] = low >> 32
+        cells[sent, np.arange(n)] = low >> 32
         low = (low & _LOW) << 16
         sent += 1
+    cells = cells[: int(sent.max())]
     while (carry := cells >> 16).any():
         cells &= 0xFFFF
-        cells[:, :-1] += carry[:, 1:]
+        cells[:-1] += carry[1:]
+    sent_words = np.ascontiguousarray(cells.astype("<u2").T)
     counts: list[list[int]] = [[] for _ in blocks]
     words: list[list[bytes]] = [[] for _ in blocks]
     for lane, (block, k) in enumerate(zip(lanes.block.tolist(), sent.tolist())):
         counts[block].append(k)
-        words[block].append(cells[lane, :k].astype("<u2").tobytes())
+        words[block].append(sent_words[lane, :k].tobytes())
     heads = [_HEAD.pack(WIDE if wide else NARROW, len(b), len(c), zlib.crc32(np.asarray(b).astype("<u4").tobytes())) for b, c in zip(blocks, counts)]
     return [head + np.array(c, "<u4").tobytes() + b"".join(w) for head, c, w in zip(heads, counts, words)]
 
@@ -341,12 +344,12 @@ def _decoded(blocks: list[bytes], sizes: list[int], words: list[np.ndarray], wid
     nxt += 3
     size = np.full(n, 1 << 48, np.int64)
     past = np.zeros((lanes.steps + 2, n), np.uint32)
-    models = _Models(lanes, len(blocks))
+    models = _Models(lanes, len(blocks), wide)
     block_parts = lanes.block << ZERO_BITS
 
     # Quotients here are below 2**17 and divisors below 2**32, so the double nearest to one has its floor.
     def renew(code: np.ndarray, size: np.ndarray, nxt: np.ndarray) -> None:
-        due = np.flatnonzero(size < _LEAST)
+        due = (size < _LEAST).nonzero()[0]
         if len(due):
             at = nxt.take(due)
             code[due] = code.take(due) << 16 | flat.take(np.minimum(at, last))
@@ -369,9 +372,8 @@ def _decoded(blocks: list[bytes], sizes: list[int], words: list[np.ndarray], wid
             live = lanes.live[t]
             i1, i2 = models.slots(a[:live], b[:live], live)
             one, two = models.one.take(i1), models.two.take(i2)
-            cell = one >> 32
-            cell += two >> 32
-            cell += models.cells[:live]
+            cell = models.cells[:live] + (one >> models.bits)
+            cell += two >> models.bits
             mix = shares.take(cell)
             both, m2 = mix >> 20, mix & ((1 << 20) - 1)
             c, s = code[:live], size[:live]
@@ -388,11 +390,11 @@ def _decoded(blocks: list[bytes], sizes: list[int], words: list[np.ndarray], wid
             freq -= start
             ids = zero & _LOW
             escape = entry == first[:live]
-            g = np.flatnonzero(v < 0)
+            g = (v < 0).nonzero()[0]
             if len(g):
                 m = m2.take(g)
                 by_two = q.take(g) < m
-                ids[g] = np.where(by_two, two.take(g), one.take(g)) & _LOW
+                ids[g] = np.where(by_two, two.take(g), one.take(g)) & models.id
                 start[g] = np.where(by_two, 0, m)
                 freq[g] = np.where(by_two, m, both.take(g) - m)
                 escape[g] = False
@@ -400,7 +402,7 @@ def _decoded(blocks: list[bytes], sizes: list[int], words: list[np.ndarray], wid
             c -= start
             np.multiply(part, freq, out=s)
             renew(c, s, nxt[:live])
-            escaped = np.flatnonzero(escape)
+            escaped = escape.nonzero()[0]
             if len(escaped):
                 ids[escaped] = raw(escaped)
                 if wide:

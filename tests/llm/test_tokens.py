@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -89,3 +90,24 @@ def test_a_document_longer_than_a_group(spark, tmp_path, monkeypatch):
     blocks = [np.arange(range_coder.BLOCK, dtype=np.uint32) % 997] * 3  # more than are coded at once
     monkeypatch.setattr(range_coder, "AT_ONCE", range_coder.BLOCK)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(range_coder.encode(blocks)), strict=True))
+
+
+def test_known_pieces_do_not_go_to_the_tokenizer_again(monkeypatch):
+    tokens = op8_tokens.Tokens(op8_tokens.tokenizer_path())
+    for text in ("one two.", "one, two", "\none"):
+        tokens.ids(text)
+    sent = []
+    monkeypatch.setattr(tokens, "_encoded", lambda texts, real=tokens._encoded: sent.extend(texts) or real(texts))
+    text = "one two, two.\none two"
+    assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not sent
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sre 1\n\t\r\x1c\x85\xa0é×Ж́字 .,-"), max_size=30) | st.just("a<|endoftext|> b"), max_size=12), st.sampled_from([8, 24, 1 << 17]))
+def test_texts_together_equal_texts_alone(texts, step):
+    tokens = test_texts_together_equal_texts_alone.__dict__.setdefault("tokens", op8_tokens.Tokens(op8_tokens.tokenizer_path(), cache=50))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op8_tokens, "STEP", step)
+        ids, at = tokens.all_ids(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
