@@ -329,7 +329,7 @@ def _grid(owner: Element, tables: dict[int, list[str]], hides: bool) -> list[str
 
 def render(html: str | None) -> str:
     """The visible text of a page."""
-    body = next(k for k in parse(html or "").kids if k.tag == "body")
+    body = next(k for k in parse(html or "", bare=True).kids if k.tag == "body")
     if not visible(body):
         return ""
     tables: dict[int, list[str]] = {}

@@ -39,6 +39,22 @@ def test_builder(raw, body):
     assert outer_html(parse(raw)) == f"<html><head></head><body>{body}</body></html>"
 
 
+@pytest.mark.parametrize(
+    ("raw", "text"),
+    [
+        ("<p>a&amp</p>", "a&amp"),
+        ("<p>&copy 2 &ampx; &amp;amp &eacute;&#65;&#66", "&copy 2 &ampx; &amp é" + "AB"),
+        ("<p title='?a=1&copy=2'>\ufdd0&lt", "\ufdd0&lt"),
+        ("<p><script>a&&b;&amp</script>", "a&&b;&amp"),
+    ],
+)
+def test_named_references_need_their_semicolon(raw, text):
+    body = parse(raw).kids[1]
+    assert body.all_text() == text and parse(outer_html(parse(raw))).kids[1].all_text() == text
+    assert body.kids[0].attrs in ({}, {"title": "?a=1&copy=2"})
+    assert parse("<p>a&amp</p>", bare=True).kids[1].all_text() == "a&"
+
+
 def test_script_text_ends_nothing():
     root = parse('<head><script>var t="</p>";</script></head><p>x')
     assert outer_html(root).startswith('<html><head><script>var t="</p>";</script></head>')
