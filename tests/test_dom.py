@@ -55,6 +55,12 @@ def test_named_references_need_their_semicolon(raw, text):
     assert parse("<p>a&amp</p>", bare=True).kids[1].all_text() == "a&"
 
 
+def test_cut_references_are_text_of_the_block():
+    page = simplify("<h1>a&&&amp</h1>")
+    assert blocks("<h1>a&&&amp</h1>") == '<h1 _item_id="1">a&amp;&amp;&amp;amp</h1>'
+    assert markdown(main_html(page.map_html, {"1": "main"})) == "# a&&&amp"
+
+
 def test_script_text_ends_nothing():
     root = parse('<head><script>var t="</p>";</script></head><p>x')
     assert outer_html(root).startswith('<html><head><script>var t="</p>";</script></head>')
