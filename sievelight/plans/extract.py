@@ -1,9 +1,9 @@
-"""The page pipeline: simplify, classify, rebuild, render. The Arrow stages of a page run in one task; rows are moved only to
-spread an input of few splits over all cores."""
+"""The page pipeline: simplify, classify, rebuild, render. All of it is one Arrow stage that works on slices of bounded size; rows are moved
+only to spread an input of few splits over all cores."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -50,19 +50,60 @@ class Config:
             raise ValueError(f"the prompt {self.prompt} asks for compact answers")
 
 
-def _stage(pages: DataFrame, reads: list[str], makes: list[tuple[str, pa.DataType, str]], work) -> DataFrame:
-    """pages with the columns in makes, made from those in reads by work(row) -> values. An error is a value: its column comes last."""
-    kept = [c for c in pages.columns if c not in {m[0] for m in makes}]
-    given = pages.select(*[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema] + [f"`{n}` {sql}" for n, _, sql in makes])
+#: Bytes of rows that a stage works on and gives out at once; what they are made into takes some times as much, whatever the batch.
+SLICE_BYTES = 1 << 20
+
+Made = tuple[str, pa.DataType, str]
+
+
+@dataclass(frozen=True)
+class _Step:
+    """makes, made from the columns in reads by work()(row) -> values. An error is a value."""
+
+    reads: tuple[str, ...]
+    makes: tuple[Made, ...]
+    work: Callable[[], Callable[..., tuple[Any, ...]]]
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many bytes, or of one row."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from slices(batch.slice(0, half), most)
+    yield from slices(batch.slice(half), most)
+
+
+def _through(pages: DataFrame, steps: list[_Step], keep: Sequence[str] | None = None) -> DataFrame:
+    """pages through the steps in one Arrow stage, with what they make behind the other columns, as last made. keep: the columns that leave
+    the stage; the steps read the others without their being copied to the next."""
+    made: dict[str, Made] = {}
+    needed: list[str] = []
+    for step in steps:
+        needed += [c for c in step.reads if c not in made and c not in needed]
+        for one in step.makes:
+            made.pop(one[0], None)
+            made[one[0]] = one
+    wanted = [c for c in pages.columns if c not in made and (keep is None or c in keep)]
+    results = [m for m in made.values() if keep is None or m[0] in keep]
+    given = pages.select(*[F.col(f"`{c}`") for c in [*wanted, *(c for c in needed if c not in wanted)]])
+    schema = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in wanted] + [f"`{n}` {sql}" for n, _, sql in results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = work()
+        applied = [(step.reads, [m[0] for m in step.makes], step.work()) for step in steps]
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in reads]
-            rows: list[tuple[Any, ...]] = [apply(*values) for values in zip(*columns)] if columns else []
-            made = [pa.array([row[k] for row in rows], kind) for k, (_, kind, _) in enumerate(makes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*kept, *[m[0] for m in makes]])
+            for part in slices(batch):
+                columns = [part.column(c).to_pylist() for c in needed]
+                cells: list[list[Any]] = [[] for _ in results]
+                for row in zip(*columns):
+                    values = dict(zip(needed, row))
+                    for reads, makes, apply in applied:
+                        values.update(zip(makes, apply(*[values[c] for c in reads])))
+                    for cell, (name, _, _) in zip(cells, results):
+                        cell.append(values[name])
+                arrays = [pa.array(cell, kind) for cell, (_, kind, _) in zip(cells, results)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in wanted), *arrays], names=[*wanted, *[m[0] for m in results]])
 
     return given.mapInArrow(run, schema)
 
@@ -75,8 +116,7 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
-def with_simplified(pages: DataFrame, config: Config = Config()) -> DataFrame:
-    """pages (html) with simplified_html, map_html, blocks and error; a page that fails has an error and no blocks."""
+def _simplifying(config: Config) -> _Step:
     cutoff = config.cutoff
 
     def work():
@@ -90,12 +130,11 @@ def with_simplified(pages: DataFrame, config: Config = Config()) -> DataFrame:
 
         return one
 
-    made = [("simplified_html", pa.string(), "string"), ("map_html", pa.string(), "string"), ("blocks", pa.list_(BLOCK), BLOCK_SQL), ("error", pa.string(), "string")]
-    return _stage(spread(pages), ["html"], made, work)
+    made = (("simplified_html", pa.string(), "string"), ("map_html", pa.string(), "string"), ("blocks", pa.list_(BLOCK), BLOCK_SQL), ("error", pa.string(), "string"))
+    return _Step(("html",), made, work)
 
 
-def with_labels(pages: DataFrame, config: Config = Config()) -> DataFrame:
-    """pages (blocks) with labels: a map from item_id to main or other."""
+def _labelling(config: Config) -> _Step:
     classifier = config.classifier
 
     def work():
@@ -108,11 +147,10 @@ def with_labels(pages: DataFrame, config: Config = Config()) -> DataFrame:
 
         return one
 
-    return _stage(pages, ["blocks"], [("labels", pa.map_(pa.string(), pa.string()), "map<string,string>")], work)
+    return _Step(("blocks",), (("labels", pa.map_(pa.string(), pa.string()), "map<string,string>"),), work)
 
 
-def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
-    """pages (map_html, labels, error) with main_html and markdown; rows with an error keep it and have neither."""
+def _rebuilding(config: Config) -> _Step:
     blank = config.empty_as_blank
     output = config.output if config.render else "html"
 
@@ -128,8 +166,28 @@ def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
 
         return one
 
-    made = [("main_html", pa.string(), "string"), ("markdown", pa.string(), "string"), ("error", pa.string(), "string")]
-    return _stage(pages.withColumn("__error", F.col("error")), ["map_html", "labels", "__error"], made, work).drop("__error")
+    made = (("main_html", pa.string(), "string"), ("markdown", pa.string(), "string"), ("error", pa.string(), "string"))
+    return _Step(("map_html", "labels", "error"), made, work)
+
+
+def with_simplified(pages: DataFrame, config: Config = Config(), keep: Sequence[str] | None = None) -> DataFrame:
+    """pages (html) with simplified_html, map_html, blocks and error, or those in keep; a page that fails has an error and no blocks."""
+    return _through(spread(pages), [_simplifying(config)], keep)
+
+
+def with_labels(pages: DataFrame, config: Config = Config()) -> DataFrame:
+    """pages (blocks) with labels: a map from item_id to main or other."""
+    return _through(pages, [_labelling(config)])
+
+
+def with_content(pages: DataFrame, config: Config = Config()) -> DataFrame:
+    """pages (map_html, labels, error) with main_html and markdown; rows with an error keep it and have neither."""
+    return _through(pages, [_rebuilding(config)])
+
+
+def with_all(pages: DataFrame, config: Config = Config(), keep: Sequence[str] | None = None) -> DataFrame:
+    """pages (html) through the three of them in one stage: what only the next needs, such as the marked page, is held for one page at a time."""
+    return _through(spread(pages), [_simplifying(config), _labelling(config), _rebuilding(config)], keep)
 
 
 def with_text(pages: DataFrame) -> DataFrame:
@@ -145,14 +203,15 @@ def with_text(pages: DataFrame) -> DataFrame:
 
         return one
 
-    return _stage(pages, ["map_html", "labels"], [("text", pa.string(), "string")], work)
+    return _through(pages, [_Step(("map_html", "labels"), (("text", pa.string(), "string"),), work)])
 
 
 def extract(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """pages (html and any other columns, which are kept) with labels, n_blocks, n_main, n_other, main_html, markdown, error.
 
-    The three Arrow stages run one after the other in the same task; between them no rows move."""
-    done = with_content(with_labels(with_simplified(pages, config), config), config)
+    Simplifying, labelling and rebuilding a page are one Arrow stage; no rows move."""
+    unread = () if config.fallback != "none" else ("html",)
+    done = with_all(pages, config, [c for c in pages.columns if c not in unread] + ["labels", "main_html", "markdown", "error"])
     if config.fallback != "none":
         instead = F.col("html") if config.fallback == "bypass" else visible_text("html")
         done = done.withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(F.coalesce(instead, F.lit(""))) for c in ("main_html", "markdown")})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.packing import pack
 from .operators import inference, ingest, labels, metrics, resume
-from .plans.extract import Config, extract, with_content, with_labels, with_simplified
+from .plans.extract import Config, extract, with_all, with_simplified
 from .sources import readers, sinks
 from .tables import new_table, table
 
@@ -359,17 +359,21 @@ listed AS (SELECT page_id, list_concat([ad, head], (string_split(body, '<p>'))[2
 blocks AS (SELECT page_id, k AS ord, trim(regexp_replace({_ENTITIES.format("regexp_replace(parts[k], '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')) AS t FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM listed))"""
 
 
-def _simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_simplified(table(spark, sf_dir, "pages").select("page_id", "html"))
+def _simplified(spark: SparkSession, sf_dir: str, *made: str) -> DataFrame:
+    return with_simplified(table(spark, sf_dir, "pages").select("page_id", "html"), keep=("page_id", *made))
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, classifier: str, *made: str) -> DataFrame:
+    return with_all(table(spark, sf_dir, "pages").select("page_id", "html"), Config(classifier=classifier), ("page_id", *made))
 
 
 @query("SELECT page_id, 3 + CAST(len(string_split(html, '<p>')) - 1 AS BIGINT) AS n_blocks FROM pages")
 def simplify_block_count(spark, sf_dir):
-    return _simplified(spark, sf_dir).select("page_id", F.size("blocks").cast("long").alias("n_blocks"))
+    return _simplified(spark, sf_dir, "blocks").select("page_id", F.size("blocks").cast("long").alias("n_blocks"))
 
 
 def _block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _simplified(spark, sf_dir).select("page_id", F.inline("blocks"))
+    blocks = _simplified(spark, sf_dir, "blocks").select("page_id", F.inline("blocks"))
     bare = F.regexp_replace("html", "<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
@@ -443,7 +447,7 @@ _WORDS = "'Page ' || page_id"
 
 def _rules_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.concat(F.lit("Page "), F.col("page_id").cast("string"))
-    return with_simplified(table(spark, sf_dir, "pages").select("page_id", F.replace(F.lit(_RULES_PAGE), F.lit("@"), words).alias("html")))
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(F.lit(_RULES_PAGE), F.lit("@"), words).alias("html"))
 
 
 @query(f"""WITH t AS (SELECT page_id, {_WORDS} AS t FROM pages),
@@ -451,7 +455,7 @@ b AS (SELECT page_id, [t, t || ' 2', '1 ' || t || '...4 ' || t, 'a1...c3', 's '
 SELECT page_id, CAST(unnest(range(1, len(b) + 1)) AS BIGINT) AS ord, regexp_replace(unnest(b), '\\s+[.]{{3}}$', '...') AS block_text FROM b""")
 def simplify_rules(spark, sf_dir):
     """Breaks, hidden and removed elements, shortened lists, details, both kinds of tables, repeated runs, cut text: the blocks they make."""
-    blocks = _rules_pages(spark, sf_dir).select("page_id", F.inline("blocks"))
+    blocks = with_simplified(_rules_pages(spark, sf_dir), keep=("page_id", "blocks")).select("page_id", F.inline("blocks"))
     text = F.regexp_replace(F.trim(F.regexp_replace("html", "<[^>]*>", "")), r"\s+\.\.\.$", "...")
     return blocks.select("page_id", (F.col("ord") + 1).cast("long").alias("ord"), text.alias("block_text"))
 
@@ -462,7 +466,7 @@ SELECT page_id, '<html><body><p>' || t || '<br></p><ul _item_id="3"><li>1 ' || t
   || '</div></td></tr></tbody></table><div>x ' || t || '</div><p _item_id="13">' || repeat('word ', 150) || '</p><section><p _item_id="15">' || t || '</p></section></body></html>' AS main_html FROM t""")
 def rebuild_rules(spark, sf_dir):
     """The same page with each second block kept: whole elements, their ancestors, and nothing of the others."""
-    return with_content(with_labels(_rules_pages(spark, sf_dir), Config(classifier="alternating"))).select("page_id", "main_html")
+    return with_all(_rules_pages(spark, sf_dir), Config(classifier="alternating"), ("page_id", "main_html"))
 
 
 @query(f"""WITH t AS (SELECT page_id, {_WORDS} AS t FROM pages)
@@ -470,25 +474,24 @@ SELECT page_id, t || chr(10) || chr(10) || '  * 1 ' || t || chr(10) || '  * 2' |
   || 'open ' || t || chr(10) || chr(10) || t || chr(10) || chr(10) || 'x ' || t || chr(10) || chr(10) || trim(repeat('word ', 150)) || chr(10) || chr(10) || t AS markdown FROM t""")
 def markdown_rules(spark, sf_dir):
     """And its Markdown."""
-    made = with_content(with_labels(_rules_pages(spark, sf_dir), Config(classifier="alternating")))
+    made = with_all(_rules_pages(spark, sf_dir), Config(classifier="alternating"), ("page_id", "markdown"))
     return made.select("page_id", F.trim(F.regexp_replace("markdown", r"^\n+|\n+$", "")).alias("markdown"))
 
 
 @query()
 def simplify_pages(spark, sf_dir):
-    return _simplified(spark, sf_dir).select("page_id", "simplified_html", "map_html", "error")
+    return _simplified(spark, sf_dir, "simplified_html", "map_html", "error")
 
 
 @query()
 def main_html(spark, sf_dir):
     """Alternating labels, as parity tests use them."""
-    ready = with_labels(_simplified(spark, sf_dir), Config(classifier="alternating"))
-    return with_content(ready).select("page_id", "main_html", "error")
+    return _rebuilt(spark, sf_dir, "alternating", "main_html", "error")
 
 
 @query()
 def markdown(spark, sf_dir):
-    return with_content(with_labels(_simplified(spark, sf_dir), Config(classifier="all-main"))).select("page_id", "markdown", "error")
+    return _rebuilt(spark, sf_dir, "all-main", "markdown", "error")
 
 
 @query()
@@ -500,7 +503,7 @@ def extract_pages(spark, sf_dir):
 @query()
 def chunk_blocks(spark, sf_dir):
     """Pages to chunks: simplify, estimate each block's tokens, pack, one row per chunk."""
-    pages = _simplified(spark, sf_dir)
+    pages = _simplified(spark, sf_dir, "blocks")
     costs = F.transform("blocks", lambda b: T.token_estimate(b["html"]).cast("int"))
     packed = pages.select("page_id", F.posexplode(pack(costs, max_tokens=512)).alias("chunk", "c"))
     return packed.select("page_id", "chunk", F.size("c.blocks").alias("n_blocks"), F.col("c.tokens").alias("n_tokens"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from parity import same
 
-from sievelight.plans.extract import extract
+from sievelight.plans.extract import SLICE_BYTES, extract, slices
 from sievelight.queries import SQL, Q
 
 
@@ -48,6 +49,48 @@ def test_plans(spark, data):
     assert "hashpartitioning(doc_id, gram" not in pairs and "MapInArrow" in pairs  # the n-grams of texts stay where the texts are
 
 
+@pytest.mark.parametrize("name", ["stream_extract", "markdown_rules", "simplify_pages", "simplify_block_count", "extract_pages", "markdown", "main_html", "main_text", "chunk_blocks"])
+def test_a_batch_of_pages_is_worked_on_in_slices(name, spark, data, monkeypatch):
+    """What a worker holds doesn't grow with its batch, which has 10,000 pages where the input is large."""
+
+    class Caught(Exception):
+        pass
+
+    def catch(self, function, schema):
+        raise Caught(function)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", catch)
+    with pytest.raises(Caught) as caught:
+        Q[name](spark, data)
+    monkeypatch.undo()
+    n = 64
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["u"] * n, "html": ["<p>" + "word " * 20_000 for _ in range(n)]})
+    sent = []
+
+    def given():
+        yield batch
+
+    for made in caught.value.args[0](given()):
+        sent.append(made.num_rows)
+        if len(sent) == 2:
+            break
+    assert 0 < sum(sent) <= 2 * SLICE_BYTES // 100_000
+
+
+def test_extraction_is_one_python_stage(spark, data):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("extract_pages", "markdown", "main_html", "main_text", "markdown_rules"):
+        assert plan(Q[name](spark, data)).count("MapInArrow") == 1
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(100)), "s": ["x" * (k * 100) for k in range(100)]})
+    parts = list(slices(batch, 20_000))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == batch.to_pylist() and len(parts) > 20
+    assert all(part.nbytes <= 20_000 or part.num_rows == 1 for part in parts)
+    assert list(slices(batch.slice(0, 0), 1)) == [batch.slice(0, 0)]
+
+
 def test_language_filter_without_limit(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "source", "n_chars").collect()
     got = Q["lang_filter_all"](spark, data).collect()
