@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import slices
 from ..dom.rebuild import main_html
 from ..dom.render import markdown, plain_text
 from ..dom.simplify import CUTOFF, simplify
@@ -50,9 +51,6 @@ class Config:
             raise ValueError(f"the prompt {self.prompt} asks for compact answers")
 
 
-#: Bytes of rows that a stage works on and gives out at once; what they are made into takes some times as much, whatever the batch.
-SLICE_BYTES = 1 << 20
-
 Made = tuple[str, pa.DataType, str]
 
 
@@ -65,16 +63,6 @@ class _Step:
     work: Callable[[], Callable[..., tuple[Any, ...]]]
 
 
-def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most so many bytes, or of one row."""
-    if batch.num_rows < 2 or batch.nbytes <= most:
-        yield batch
-        return
-    half = batch.num_rows // 2
-    yield from slices(batch.slice(0, half), most)
-    yield from slices(batch.slice(half), most)
-
-
 def _through(pages: DataFrame, steps: list[_Step], keep: Sequence[str] | None = None) -> DataFrame:
     """pages through the steps in one Arrow stage, with what they make behind the other columns, as last made. keep: the columns that leave
     the stage; the steps read the others without their being copied to the next."""

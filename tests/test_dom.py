@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sievelight.dom import builder
 from sievelight.dom.builder import parse
 from sievelight.dom.rebuild import decode_urls, main_html
 from sievelight.dom.render import markdown, plain_text, strip_spacer_images
@@ -157,5 +158,22 @@ def test_markdown_has_all_text(parts):
     assert sorted(re.findall(r"w\d+w", markdown(main))) == sorted(words) == sorted(re.findall(r"w\d+w", plain_text(main)))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", '<a href="?a&amp;b" title="q>r">', "<a href=x>", "</a >", '<p class="a"b="c">', '</a x="1">', "<script>", "</script>", "a<b && c", "</SCRIPT >", "</", "<", "< ", "<!", "<!--", " --> ", "<!-- c -->", "<!DOCTYPE html>", "<?pi?>", ">", "&amp;", "&#65", "&", "x", "<br/>", "<svg/>", "<1>", "</>", "<style>", "</style>"]), max_size=30), st.integers(0, 5))
+def test_plain_tags_are_read_as_the_parser_reads_them(parts, cut):
+    raw = "".join(parts)
+    raw = raw[: len(raw) - cut] if cut else raw
+    fast = outer_html(parse(raw))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.delattr(builder._Builder, "goahead")
+        assert outer_html(parse(raw)) == fast
+
+
+def test_plain_pages_cost_no_searches_of_the_parser(monkeypatch):
+    monkeypatch.setattr(builder._Builder, "parse_starttag", None)
+    monkeypatch.setattr(builder._Builder, "parse_endtag", None)
+    assert outer_html(parse('<body><div class="a"><p id="b" title="x&amp;y">a</p></div></body>')).count("<p id") == 1
+
+
 def test_deep_pages():
     assert len(simplify("<div>" * 3000 + "x").blocks) == 1

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from parity import same
 
-from sievelight.plans.extract import SLICE_BYTES, extract, slices
+from sievelight.batches import SLICE_BYTES, slices
+from sievelight.plans.extract import extract
 from sievelight.queries import SQL, Q
 
 
