@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import slices
 from ..functions.packing import MAX_TOKENS
 
 #: ids and mask, each (chunks, positions), to scores (chunks, positions, labels).
@@ -31,6 +32,8 @@ Model = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Tokenize = Callable[[str], list[int]]
 
 SEPARATOR, MAX_BATCH_TOKENS = "<|sep|>", 16_384
+#: Bytes of chunks that are lists of numbers at a time; more than most batches of a model.
+CHUNK_BYTES = 4 << 20
 #: Ids of the tokeniser without a vocabulary.
 BEGIN, END, PAD, SEP, WORDS_FROM = 1, 2, 0, 3, 4
 
@@ -164,7 +167,7 @@ def token_chunks(pages: DataFrame, key: str, blocks: str, classifier: TokenClass
     given = pages.select(F.col(key).alias("__key"), F.col(blocks).alias("__blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, cells = [], []
             for k, own in enumerate(batch.column("__blocks").to_pylist()):
                 for n, (ids, numbers) in enumerate(classifier.chunks([b or "" for b in own or []])):
@@ -183,7 +186,7 @@ def predict_chunks(chunks: DataFrame, key: str, classifier: TokenClassifier = To
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, sep, model = classifier.parts()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, CHUNK_BYTES)):
             chunks_ = batch.column("ids").to_pylist()
             found: list[list[int]] = []
             for lo, hi in batches_of([len(c) for c in chunks_], classifier.max_batch_tokens):

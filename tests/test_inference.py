@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,6 +78,35 @@ def test_pages(spark):
     assert chunks.where("n_tokens > 20 OR n_tokens <> size(ids)").isEmpty()
 
 
+def test_batches_are_worked_on_in_slices(spark, monkeypatch):
+    """The first rows leave a stage long before its batch is through, and all rows leave it in the end."""
+    caught = []
+
+    class Caught(Exception):
+        pass
+
+    def catch(self, function, schema):
+        caught.append(function)
+        raise Caught
+
+    pages = spark.createDataFrame([], "page int, blocks array<string>")
+    chunks = spark.createDataFrame([], "page int, chunk int, ids array<int>, numbers array<int>, n_tokens int")
+    monkeypatch.setattr(type(pages), "mapInArrow", catch)
+    for made in (lambda: inference.token_chunks(pages, "page", "blocks"), lambda: inference.predict_chunks(chunks, "page")):
+        with pytest.raises(Caught):
+            made()
+    monkeypatch.undo()
+    blocks = [["word " * 20_000] for _ in range(64)]
+    batch = pa.RecordBatch.from_pydict({"__key": list(range(64)), "__blocks": blocks})
+    found = list(caught[0](iter([batch])))
+    assert sum(b.num_rows for b in found) == 64 and max(b.num_rows for b in found) * 100_000 <= inference.slices.__defaults__[0]
+    ids = pa.array([[5] * 50_000 + [3]] * 64, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([0] * 64, pa.int32()), ids, pa.array([[0]] * 64, pa.list_(pa.int32()))], names=["__key", "chunk", "ids", "numbers"])
+    found = list(caught[1](iter([batch])))
+    assert sum(b.num_rows for b in found) == 64 and max(b.num_rows for b in found) * 200_000 <= inference.CHUNK_BYTES
+    assert all(p == [1] for b in found for p in b.column("predictions").to_pylist())
+
+
 def test_real_tokenizer(spark):
     public = pytest.importorskip("public_tokenizers")
     classifier = inference.TokenClassifier(tokenizer=public.path("byte_bpe_50k.json"), begin=None, end=None)
